@@ -75,3 +75,10 @@ def verdict_text(label) -> Column:
 
 def result_headline(label) -> Column:
     return F.when(_col(label) == FRAUD, F.lit("Likely fraudulent")).otherwise(F.lit("Likely legitimate"))
+
+
+def result_message(label, summary) -> Column:
+    """The sentence under a headline: the explanation of a fraud, else a fixed line."""
+    scam = F.coalesce(_col(summary), F.lit("This posting shows patterns common in recruitment scams."))
+    clean = F.lit("We didn't find the writing patterns typically seen in scam postings.")
+    return F.when(_col(label) == FRAUD, scam).otherwise(clean)
