@@ -30,9 +30,9 @@ def h1_html(html) -> Column:
     return F.coalesce(element(html, "h1"), F.lit(""))
 
 
-def h1_title(html, tag_text=" ") -> Column:
-    """Text of the first h1."""
-    return text.collapse(text.strip_html(h1_html(html), DROPPED_ELEMENTS, tag_text))
+def h1_title(html, joiner=" ") -> Column:
+    """Text of the first h1 of a page without dropped elements."""
+    return text.node_text(h1_html(html), joiner)
 
 
 def company_link_texts(html) -> Column:
@@ -42,11 +42,8 @@ def company_link_texts(html) -> Column:
 
 def company_from_link(container) -> Column:
     """First employer link that carries a name; the logo has no text and a tab says "Company"."""
-    def name(link):
-        shown = F.regexp_replace(link, text.TAG, " ")
-        return F.rtrim(text.collapse(text.decode_entities(shown)), F.lit(", "))
-
-    names = F.filter(F.transform(company_link_texts(container), name), lambda n: (n != "") & (n != "Company"))
+    shown = F.transform(company_link_texts(container), lambda link: F.rtrim(text.node_text(link, " "), F.lit(", ")))
+    names = F.filter(shown, lambda n: (n != "") & (n != "Company"))
     return text.or_empty(F.get(names, 0))
 
 
@@ -137,7 +134,7 @@ def board_b_fields(df, html="html"):
     })
     staged = text.with_clean_html(staged, "_box", "_text", (), "\n", finish=lambda c: c)
     staged = (
-        staged.withColumn("title", text.collapse(text.strip_html("_h1", ())))
+        staged.withColumn("title", text.node_text("_h1", " "))
         .withColumn("company_profile", company_from_link("_box"))
         .withColumn("_lines", page_lines("_text"))
         .withColumn("_tags", tag_lines("_lines"))

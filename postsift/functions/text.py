@@ -88,6 +88,12 @@ def strip_tags(c, tag_text=" ") -> Column:
     return decode_entities(F.regexp_replace(_col(c), TAG, tag_text))
 
 
+def node_text(c, joiner: str) -> Column:
+    """Text of an element's nodes, each trimmed and the empty ones left out, joined."""
+    tags = F.regexp_replace(_col(c), rf"(?:{vocab.WS}*(?:{TAG}))++{vocab.WS}*", joiner)
+    return strip(decode_entities(tags))
+
+
 def bare_text(c, elements=DROPPED_ELEMENTS, tag_text=" ") -> Column:
     """Markup removed, entities left; plain text skips the patterns."""
     c = _col(c)

@@ -38,7 +38,7 @@ def board_a_postings(pages: DataFrame, source: str = vocab.BOARD_A["source"]) ->
     """Board A pages to unified postings, one per page."""
     df = pages.withColumn("_page", text.drop_elements("html")).withColumns({
         "_main": F.coalesce(board_b.element("_page", "main"), board_b.element("_page", "body"), F.col("_page")),
-        "title": text.collapse(text.strip_html(board_b.h1_html("_page"), (), "")),
+        "title": board_b.h1_title("_page", ""),
     })
     df = text.with_clean_html(df, "_main", "_text", ())
     df = df.withColumns(board_a.board_a_fields("_text", "title"))
