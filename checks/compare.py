@@ -49,8 +49,20 @@ def compare(spark, con, name, folder):
     a, b = canonical(rows, columns), canonical(sql_rows, sql_columns)
     if a == b:
         return None if rows else "no rows"
-    left, right = [x for x in a if x not in set(b)], [x for x in b if x not in set(a)]
-    return f"rows {len(a)} / {len(b)}, only here {len(left)} / {len(right)}: {str(left[:1])[:700]} / {str(right[:1])[:700]}"
+    return f"rows {len(rows)} / {len(sql_rows)}; " + "; ".join(
+        c for c in map(lambda n: column_gap(n, columns, rows, sql_columns, sql_rows), columns) if c)
+
+
+def column_gap(name, columns, rows, sql_columns, sql_rows):
+    """How the values of one column differ, if they do, from the first odd character on."""
+    mine = sorted(repr(r[columns.index(name)]) for r in rows)
+    other = sorted(repr(r[sql_columns.index(name)]) for r in sql_rows)
+    if mine == other:
+        return ""
+    left, right = sorted(set(mine) - set(other)), sorted(set(other) - set(mine))
+    x, y = (left or [""])[0], (right or [""])[0]
+    at = next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    return f"{name} {len(left)}/{len(right)} ...{x[max(0, at - 20):at + 40]!r} / ...{y[max(0, at - 20):at + 40]!r}"
 
 
 def main(folder="/root/testdata/sf0.01", *names):

@@ -58,7 +58,7 @@ def company_and_function(c, title) -> dict[str, Column]:
     )
 
     def part(n):
-        return F.when(title == "", F.lit("")).otherwise(strip(F.regexp_extract(c, pattern, n)))
+        return F.when(title == "", F.lit("")).otherwise(strip(F.call_function("regexp_extract", c, pattern, F.lit(n))))
 
     return {"company_profile": part(1), "function": part(2)}
 

@@ -1,11 +1,11 @@
 """Text cleaning, segmentation and tokenizing as native column expressions."""
 
 import operator
+import unicodedata
 from functools import reduce
 from html.entities import name2codepoint
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F, types as T
 
 from postsift import vocab
@@ -110,7 +110,9 @@ def strip_html(c, elements=DROPPED_ELEMENTS, tag_text=" ") -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(texts, form="NFKC")
+    """Python's own tables: Arrow's kernel leaves composed letters apart."""
+    normalize = unicodedata.normalize
+    return pa.array([None if s is None else normalize("NFKC", s) for s in texts.to_pylist()], pa.string())
 
 
 def nfkc(c) -> Column:

@@ -53,7 +53,8 @@ def write_postings(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.options(header=True, escape='"', emptyValue="").csv(path)
+        writer.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(path)
     else:
         writer.parquet(path)
 

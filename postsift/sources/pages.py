@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import vocab
 from postsift.functions import board_a, board_b, email, keys, text
+from postsift.operators.rows import filter_here
 from postsift.sources.conform import conform_unified
 
 _HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""
@@ -49,7 +50,7 @@ def board_a_postings(pages: DataFrame, source: str = vocab.BOARD_A["source"]) ->
 
 def board_b_postings(pages: DataFrame, source: str = vocab.BOARD_B["source"]) -> DataFrame:
     """Board B pages to unified postings; pages without title and description are dropped."""
-    df = board_b.board_b_fields(pages).filter("is_job_page")
+    df = filter_here(board_b.board_b_fields(pages), F.col("is_job_page"))
     df = _contact_columns(df, vocab.BOARD_B["ignored_domains"])
     df = df.withColumns({"source": F.lit(source), "source_id": keys.source_id_from_url("url")})
     return conform_unified(_scrape_time(df))
