@@ -77,20 +77,20 @@ def ranking_metrics(df: DataFrame, keys=()) -> DataFrame:
     keys = list(keys)
     y = F.col("y").cast("bigint")
     steps = df.groupBy(*keys, "p").agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
-    run = running_totals(steps, [*[F.asc(k) for k in keys], F.desc("p")], {"_TP": "_tp", "_FP": "_fp"})
+    run = running_totals(steps, [*[F.asc(k) for k in keys], F.desc("p")], {"_run_tp": "_tp", "_run_fp": "_fp"})
     if keys:
         per_key = steps.groupBy(*keys).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
         earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per key: folds x settings
         base = per_key.select(*keys, *[
-            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in (("_P", "_P0"), ("_N", "_N0"))])
-        run = run.join(base, keys).withColumns({"_TP": F.col("_TP") - F.col("_P0"), "_FP": F.col("_FP") - F.col("_N0")})
+            F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in (("_P", "_base_tp"), ("_N", "_base_fp"))])
+        run = run.join(base, keys).withColumns({"_run_tp": F.col("_run_tp") - F.col("_base_tp"), "_run_fp": F.col("_run_fp") - F.col("_base_fp")})
     d = lambda c: F.col(c).cast("double")
     pos, neg = F.sum("_tp").cast("double"), F.sum("_fp").cast("double")
-    above = F.sum(d("_tp") * (d("_FP") - d("_fp") / 2))
+    above = F.sum(d("_tp") * (d("_run_fp") - d("_fp") / 2))
     return run.groupBy(*keys).agg(
         F.sum("_tp").alias("positives"),
         F.sum("_fp").alias("negatives"),
-        F.when(pos > 0, F.sum(d("_tp") * d("_TP") / (d("_TP") + d("_FP"))) / pos).alias("average_precision"),
+        F.when(pos > 0, F.sum(d("_tp") * d("_run_tp") / (d("_run_tp") + d("_run_fp"))) / pos).alias("average_precision"),
         F.when((pos > 0) & (neg > 0), (pos * neg - above) / (pos * neg)).alias("roc_auc"),
     )
 

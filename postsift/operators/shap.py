@@ -110,8 +110,8 @@ def _contribute(df: DataFrame, rows, n_trees: int, when: str | None) -> DataFram
             for c in range(0, len(value), chunk):
                 s = slice(c, c + chunk)
                 total += leaf_contributions(x, value[s], lo[s], hi[s], z[s])
-            shap = np.full(len(batch), None, dtype=object)
-            shap[wanted] = list(total / n_trees)
+            shap = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            shap[wanted] = pd.Series(list(total / n_trees), index=batch.index[wanted], dtype=object)
             yield batch.assign(shap=shap)
 
     return df.mapInPandas(run, schema)
