@@ -60,7 +60,7 @@ def _per_word(count, n_words) -> Column:
 
 def ttr(words) -> Column:
     words = _col(words)
-    return _ratio(F.size(F.array_distinct(F.transform(words, F.lower))), F.size(words))
+    return _ratio(F.size(F.array_distinct(F.transform(words, lambda w: F.lower(w)))), F.size(words))
 
 
 def sentence_lengths(sentences) -> Column:
@@ -139,18 +139,23 @@ def _at_word_start(first, pattern) -> str:
 
 
 _PAYMENT_OR_ID = _at_word_start("rpatimbsndk", rf"(?:{'|'.join(vocab.PAYMENT_OR_ID)})\b|{vocab.PAYMENT_AMOUNT}")
-_MONEY = "|".join([
+# Group 1 is an amount. A number without a currency matches too, outside the group,
+# so that a long one is read once and not again from each of its digits.
+_NUMBER = _at_word_start(r"\p{Nd}", r"\d[\d,.]*+")
+_MONEY = "({}|{}|{})|{}".format(
     _at_word_start("ku", vocab.MONEY_AFTER_WORD),
     _folded(vocab.MONEY_AFTER_SIGN),
-    _at_word_start(r"\p{Nd}", vocab.MONEY_BEFORE_WORD),
-])
+    _at_word_start(r"\p{Nd}", vocab.MONEY_BEFORE_WORD.replace("]*", "]*+")),
+    _NUMBER,
+)
 _SECOND_PERSON = _at_word_start("y", vocab.SECOND_PERSON + r"\b")
 _MESSAGING_APP = _at_word_start("wt", vocab.MESSAGING_APP + r"\b")
 
 
 def money_mention_density(folded, n_words) -> Column:
     folded = _col(folded)
-    hits = F.when(folded.rlike(r"\p{Nd}"), F.regexp_count(folded, F.lit(_MONEY))).otherwise(F.lit(0))
+    found = F.filter(F.regexp_extract_all(folded, F.lit(_MONEY), F.lit(1)), lambda m: m != "")
+    hits = F.when(folded.rlike(r"\p{Nd}"), F.size(found)).otherwise(F.lit(0))
     return _per_word(100 * hits, n_words)
 
 

@@ -132,11 +132,6 @@ def normalize_homoglyphs(c) -> Column:
 # --- cleaning --------------------------------------------------------------
 
 
-def clean_html(c) -> Column:
-    """One line of visible text, look-alikes mapped; null and blank give ''."""
-    return or_empty(collapse(normalize_homoglyphs(strip_html(_col(c)))))
-
-
 def mask_tokens(c) -> Column:
     """Hashed contact tokens such as ``#EMAIL_9f3a#`` become `` [email] ``."""
     c = _col(c)
@@ -163,11 +158,6 @@ def collapse_keep_lines(c) -> Column:
     return strip(F.when(has_any(c, _RARE_WS), rare).otherwise(usual))
 
 
-def clean_keep_lines(c) -> Column:
-    """Visible text with line breaks kept, since they end sentences."""
-    return or_empty(collapse_keep_lines(normalize_homoglyphs(mask_tokens(strip_html(_col(c))))))
-
-
 def _staged(df, source, target, steps):
     """Apply steps as separate projections: each reads its input more than once,
     so Catalyst keeps them apart and every pattern runs once per row."""
@@ -184,13 +174,13 @@ def _markup_steps(elements, tag_text=" "):
 
 
 def with_clean_html(df, source, target: str, elements=DROPPED_ELEMENTS, tag_text=" ", finish=collapse):
-    """``clean_html`` of one column, as a table column."""
+    """One line of visible text, look-alikes mapped; null and blank give ''."""
     steps = [*_markup_steps(elements, tag_text), nfkc, map_homoglyphs, lambda c: or_empty(finish(c))]
     return _staged(df, source, target, steps)
 
 
 def with_clean_lines(df, source, target: str):
-    """``clean_keep_lines`` of one column, as a table column."""
+    """Visible text with line breaks kept, since they end sentences."""
     finish = lambda c: or_empty(collapse_keep_lines(c))
     return _staged(df, source, target, [*_markup_steps(DROPPED_ELEMENTS), mask_tokens, nfkc, map_homoglyphs, finish])
 
@@ -201,7 +191,7 @@ def with_clean_lines(df, source, target: str):
 def segment(c) -> Column:
     """Bullets and glued words (``...InstituteOur``) start a new line."""
     c = _col(c)
-    bullet_lines = F.regexp_replace(c, f"{vocab.WS}*[{vocab.BULLETS}]{vocab.WS}*", "\n")
+    bullet_lines = F.regexp_replace(c, f"{vocab.WS}*+[{vocab.BULLETS}]{vocab.WS}*", "\n")
     lines = F.when(has_any(c, vocab.BULLETS), bullet_lines).otherwise(c)
     return F.regexp_replace(lines, r"([a-z0-9)\]:])(?=[A-Z][a-z])", "$1\n")
 
@@ -213,7 +203,7 @@ def split_sentences(segmented) -> Column:
     """
     spaced = spaces(segmented, vocab.WS_CHARS.replace("\n", ""))
     lines = F.split(F.regexp_replace(spaced, r"([.!?]++)[ \n]++", "$1\n"), "\n")
-    return F.filter(F.transform(lines, F.trim), lambda s: s != "")
+    return F.filter(F.transform(lines, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_words(segmented) -> Column:
