@@ -15,9 +15,10 @@ DROPPED_ELEMENTS = (*text.DROPPED_ELEMENTS, "svg")
 
 def element(html, name: str, attribute: str = "") -> Column:
     """Inner HTML of the first such element, or of its open rest; null if none."""
-    pattern = rf"(?is)<{name}\b[^>]*{attribute}[^>]*>(.*?)(?:</{name}\s*>|\z)"
+    opening = rf"(?i)<{name}\b[^>]*{attribute}[^>]*>" if attribute else rf"(?i)<{name}\b[^>]*>"
+    inside = rf"((?:[^<]++|<(?!/{name}\s*>))*+)"
     html = _col(html)
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    return F.when(html.rlike(opening), F.regexp_extract(html, opening + inside, 1))
 
 
 def job_container(html) -> Column:

@@ -32,7 +32,7 @@ def standardize_base(raw: DataFrame, source: str = vocab.CORPUS_SOURCE) -> DataF
     for name in _HTML:
         df = text.with_clean_html(df, name, name)
     df = df.withColumn("_contact", F.concat_ws(" ", "company_profile", "description", "requirements"))
-    df = df.withColumn("contact_email_domain", text.or_empty(email.contact_domain("_contact"))).withColumns({
+    df = df.withColumn("contact_email_domain", text.or_empty(email.contact_domain("_contact", normalized=True))).withColumns({
         "source": F.lit(source),
         "is_free_email_provider": email.is_free_email("contact_email_domain").cast("int"),
     })

@@ -25,7 +25,7 @@ def extract_links(pages: DataFrame, base_url=vocab.BOARD_A["base_url"], prefix=v
 
 
 def _contact_columns(df: DataFrame, ignored) -> DataFrame:
-    return df.withColumn("contact_email_domain", text.or_empty(email.contact_domain("description", ignored))).withColumn(
+    return df.withColumn("contact_email_domain", text.or_empty(email.contact_domain("description", ignored, normalized=True))).withColumn(
         "is_free_email_provider", email.is_free_email("contact_email_domain").cast("int"))
 
 
