@@ -530,7 +530,8 @@ add("a08_class_feature_means",
     lambda i: stats.class_feature_means(stylometry.extract_features(i.postings.filter("fraudulent <> ''").select("doc_id", "description", "fraudulent"), "description")),
     over_postings("select feature, round(avg(v) filter (where y = 0), 3) as legitimate, round(avg(v) filter (where y = 1), 3) as fraudulent from tall group by feature",
                   _LABELLED, *d.feature_ctes("labelled", "description"),
-                  ("tall", " union all ".join(f"select cast(fraudulent as int) as y, '{c}' as feature, cast({c} as double) as v from feat" for c in vocab.FEATURE_ORDER))))
+                  ("tall", "select cast(fraudulent as int) as y, unnest([" + ", ".join(f"'{c}'" for c in vocab.FEATURE_ORDER) + "]) as feature, unnest(["
+                    + ", ".join(f"cast({c} as double)" for c in vocab.FEATURE_ORDER) + "]) as v from feat")))
 add("a09_fraud_share", lambda i: stats.fraud_share(i.dataset),
     over_postings("select split, round(avg(cast(fraudulent as double)), 6) as fraud_share from data group by split", *DATA))
 PRED = ("pr", "select *, case when p > 0.5::double then 1 else 0 end as pred from predictions")
@@ -637,7 +638,8 @@ add("f17_syllables_per_word", lambda i: i.texts.select("doc_id", stylometry.syll
 add("f18_extract_features", lambda i: i.features,
     over_postings("select doc_id, " + ", ".join(vocab.FEATURE_ORDER + ["contact_email_domain"]) + " from feat", TX, *FEAT))
 add("f19_vector_to_array", lambda i: forest.assemble(i.features, ["doc_id"]).select(
-    "doc_id", F.concat_ws(",", F.transform(forest.vector_to_array("features"), lambda v: F.round(v, 4).cast("string"))).alias("vector")))
+        "doc_id", F.posexplode(forest.vector_to_array("features")).alias("place", "value")),
+    over_postings("select doc_id, unnest(range(15)) as place, unnest([" + ", ".join(f"cast({c} as double)" for c in vocab.FEATURE_ORDER) + "]) as value from feat", TX, *FEAT))
 
 # --- modelling: splits, weights, metrics -----------------------------------------------
 

@@ -16,9 +16,10 @@ def collapse_copies(df: DataFrame, key_text: str, order_by=("source_rank", "ordi
 
     A single aggregation answers all three questions: rows shuffle once, on a hash of
     the text, after copies were merged where they were read, so a text that makes up a
-    third of the table costs one row per task.
+    third of the table costs one row per task. The key text itself is not carried along.
     """
-    first = F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_first")
+    carried = [c for c in df.columns if c != key_text]
+    first = F.min_by(F.struct(*carried), F.struct(*order_by)).alias("_first")
     facts = [first, F.count(F.lit(1)).alias("n_copies")]
     if label is not None:
         facts.append((F.min(label) != F.max(label)).alias("label_conflict"))
@@ -27,6 +28,7 @@ def collapse_copies(df: DataFrame, key_text: str, order_by=("source_rank", "ordi
 
 
 def dedupe_keep_first(df: DataFrame, key_text="text_norm", order_by=("source_rank", "ordinal")) -> DataFrame:
+    """The first row of each text in load order, without the key text."""
     return collapse_copies(df, key_text, order_by).drop("n_copies")
 
 
@@ -44,7 +46,7 @@ def conflict_anti_join(df: DataFrame, text_norm="text_norm", label="fraudulent")
 def annotation_dedupe(df: DataFrame, order_by=("source_rank", "ordinal")) -> DataFrame:
     """One row per description, the first in load order, with ``duplicate_count``."""
     keyed = df.withColumn("_norm", keys.normalize_key("description"))
-    return collapse_copies(keyed, "_norm", order_by).withColumnRenamed("n_copies", "duplicate_count").drop("_norm")
+    return collapse_copies(keyed, "_norm", order_by).withColumnRenamed("n_copies", "duplicate_count")
 
 
 def duplicate_count_lookup(df: DataFrame, key: str) -> DataFrame:

@@ -79,7 +79,7 @@ def ranking_metrics(df: DataFrame, keys=()) -> DataFrame:
     steps = df.groupBy(*keys, "p").agg(F.sum(y).alias("_tp"), F.sum(1 - y).alias("_fp"))
     run = running_totals(steps, [*[F.asc(k) for k in keys], F.desc("p")], {"_run_tp": "_tp", "_run_fp": "_fp"})
     if keys:
-        per_key = steps.groupBy(*keys).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
+        per_key = run.groupBy(*keys).agg(F.sum("_tp").alias("_P"), F.sum("_fp").alias("_N"))
         earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per key: folds x settings
         base = per_key.select(*keys, *[
             F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in (("_P", "_base_tp"), ("_N", "_base_fp"))])

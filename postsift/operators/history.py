@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from postsift.functions import text, verdict
+from postsift.operators.lineage import cut_lineage
 
 BROADCAST_PAGE = 10_000
 
@@ -37,8 +38,9 @@ def history_join(postings: DataFrame, vectors: DataFrame, results: DataFrame) ->
 
 
 def history(postings: DataFrame, vectors: DataFrame, results: DataFrame, page=1, per_page=10, user_id=None) -> DataFrame:
-    """A page of history. The page is cut first; result tables shrink to its rows before the join."""
-    shown = history_page(postings, page, per_page, user_id)
+    """A page of history. The page is cut and kept first, so postings are read once;
+    result tables shrink to its rows before the join."""
+    shown = cut_lineage(history_page(postings, page, per_page, user_id))
     if per_page <= BROADCAST_PAGE:
         ids = F.broadcast(shown.select("posting_id"))
         vectors, results = (t.join(ids, "posting_id", "left_semi") for t in (vectors, results))

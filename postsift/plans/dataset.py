@@ -25,12 +25,16 @@ def labelled_texts(base: DataFrame, local: DataFrame, min_chars=vocab.MIN_TEXT_C
 
 
 def unique_texts(texts: DataFrame) -> DataFrame:
-    """One row per text, conflicting texts gone, with ``group`` and ``id``: one shuffle."""
-    merged = dedupe.collapse_copies(texts, "text_norm", label="fraudulent").filter(~F.col("label_conflict"))
-    return merged.withColumns({
+    """One row per text, conflicting texts gone, with ``group`` and ``id``: one shuffle.
+
+    Group and id are made before it, so the normalized text stays behind.
+    """
+    keyed = texts.withColumns({
         "group": keys.group_key("source", "company_profile", "contact_email_domain", "is_free_email_provider", "text_norm"),
         "id": keys.posting_key("source", "source_id", "text_norm"),
     })
+    merged = dedupe.collapse_copies(keyed, "text_norm", label="fraudulent")
+    return merged.filter(~F.col("label_conflict")).drop("label_conflict", "n_copies")
 
 
 def build_dataset(base: DataFrame, local: DataFrame, min_chars=vocab.MIN_TEXT_CHARS, test_size=0.2, use_suggested=False,
@@ -41,7 +45,7 @@ def build_dataset(base: DataFrame, local: DataFrame, min_chars=vocab.MIN_TEXT_CH
     joined back.
     """
     texts = labelled_texts(base, local, min_chars, use_suggested, base_label_source)
-    rows = cut_lineage(unique_texts(texts).drop("text_norm", "n_copies", "label_conflict", "source_rank", "ordinal"))
+    rows = cut_lineage(unique_texts(texts).drop("source_rank", "ordinal"))
     return split.group_stratified_split(rows, test_size, seed).select(*vocab.DATASET_COLUMNS)
 
 

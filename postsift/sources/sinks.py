@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postsift import vocab
 from postsift.functions import stylometry, verdict
 from postsift.operators import shap
-from postsift.operators.lineage import cut_lineage
 from postsift.operators.submissions import stable_id
 
 TABLES = ("job_postings", "feature_vectors", "classification_results", "explainability_reports")
@@ -33,13 +32,20 @@ def score_tables(scored: DataFrame) -> dict[str, DataFrame]:
 
 
 def score_sink(scored: DataFrame, path: str, batch_id=None) -> None:
-    """Write the four tables. A batch goes to its own folder, so writing it again replaces it."""
-    scored = cut_lineage(scored)
-    for name, table in score_tables(scored).items():
-        if batch_id is None:
-            table.write.mode("append").parquet(f"{path}/{name}")
-        else:
-            table.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+    """Write the four tables. A batch goes to its own folder, so writing it again replaces it.
+
+    Scores are kept while the tables are written. They follow from the rows alone, so a
+    lost part is computed again with the same result.
+    """
+    scored = scored.persist()
+    try:
+        for name, table in score_tables(scored).items():
+            if batch_id is None:
+                table.write.mode("append").parquet(f"{path}/{name}")
+            else:
+                table.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+    finally:
+        scored.unpersist()
 
 
 def metrics_document(search: dict, scores: DataFrame, dataset: DataFrame, versions: dict[str, str]) -> DataFrame:

@@ -27,12 +27,9 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, model=None, path
     submissions and each batch owns its folders: running one again adds no rows.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        validated = submissions.validate_submissions(batch).persist()
-        try:
-            score_sink(score_accepted(submissions.accepted(validated), model, paths), path, batch_id)
-            rejects_sink(submissions.rejected(validated), path, batch_id)
-        finally:
-            validated.unpersist()
+        validated = submissions.validate_submissions(batch)
+        score_sink(score_accepted(submissions.accepted(validated), model, paths), path, batch_id)
+        rejects_sink(submissions.rejected(validated), path, batch_id)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(process)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

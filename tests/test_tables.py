@@ -77,7 +77,8 @@ def test_split_of_skewed_groups(spark):
 def test_copies_and_conflicts(spark):
     rows = [("x", "0", 1, 5), ("x", "0", 0, 9), ("y", "0", 0, 1), ("y", "1", 1, 2), ("z", "1", 1, 1)] + [("hot", "0", 1, n) for n in range(100, 400)]
     df = spark.createDataFrame(rows, "text_norm string, fraudulent string, source_rank int, ordinal int")
-    got = {r["text_norm"]: (r["source_rank"], r["ordinal"], r["n_copies"], r["label_conflict"]) for r in dedupe.collapse_copies(df, "text_norm", label="fraudulent").collect()}
+    merged = dedupe.collapse_copies(df.withColumn("t", F.col("text_norm")), "text_norm", label="fraudulent")
+    got = {r["t"]: (r["source_rank"], r["ordinal"], r["n_copies"], r["label_conflict"]) for r in merged.collect()}
     assert got == {"x": (0, 9, 2, False), "y": (0, 1, 2, True), "z": (1, 1, 1, False), "hot": (1, 100, 300, False)}
     assert dedupe.conflict_anti_join(df).count() == len(rows) - 2
 
