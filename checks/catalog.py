@@ -5,7 +5,6 @@ DuckDB SQL. Whole numbers come out as bigint and fractions rounded to six places
 both sides.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,7 +14,7 @@ from postsift import vocab
 from postsift.functions import board_a, board_b, email, keys, notes, stylometry, text, verdict
 from postsift.operators import (annotation, dedupe, evaluate, forest, history, labels, ranking, shap, split, stats,
                                 submissions)
-from postsift.operators.lineage import cut_lineage
+from postsift.operators.lineage import cut_lineage, shared_folder
 from postsift.operators.rows import filter_here
 from postsift.plans import annotation_batch, dataset, scoring
 from postsift.sources import conform, corpus, files, pages, sinks, sitemaps
@@ -62,9 +61,8 @@ class Inputs:
         return self.spark.sql(d.VIEWS[name])
 
     def scratch(self):
-        """A new folder: beside the shared checkpoints where those are set."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        return f"{shared}/{uuid.uuid4()}" if shared else tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        """A new folder beside the checkpoints."""
+        return f"{shared_folder(self.spark)}/{uuid.uuid4()}"
 
     postings = property(lambda self: self.view("postings"))
     submissions = property(lambda self: self.view("submissions"))
@@ -492,7 +490,7 @@ def _history_tables(i):
 add("j02_user_postings", lambda i: history.user_postings(_history_tables(i)[0], "7").select("posting_id", "user_id"),
     d.with_views(["submissions"], "select submission_id as posting_id, user_id from submissions where user_id = '7'"))
 add("j03_conflict_anti_join", lambda i: dedupe.conflict_anti_join(_texts(i)).select("source_rank", "ordinal", "fraudulent"),
-    over_postings("select source_rank, ordinal, fraudulent from txt where text_norm not in (select text_norm from clash)", *UNIQ[:3]))
+    over_postings("select cast(source_rank as bigint) as source_rank, ordinal, fraudulent from txt where text_norm not in (select text_norm from clash)", *UNIQ[:3]))
 add("j04_free_domain_lookup", lambda i: i.postings.filter(email.is_free_email("contact_email_domain")).select("doc_id", "contact_email_domain"),
     over_postings(f"select doc_id, contact_email_domain from postings where lower(contact_email_domain) in {d.in_list(vocab.FREE_EMAIL_DOMAINS)}"))
 add("j05_duplicate_count_lookup",
@@ -505,7 +503,7 @@ add("j06_feature_label_join", lambda i: i.vectors.select("id", "source", "split"
 add("a01_label_nunique_by_text", lambda i: dedupe.label_nunique_by_text(_texts(i)).select(F.lower(F.hex("text_key")).alias("k"), "n_labels"),
     over_postings("select sha256(text_norm) as k, count(distinct fraudulent) as n_labels from txt group by 1", *LAB))
 add("a02_dedupe_keep_first", lambda i: dedupe.dedupe_keep_first(_texts(i)).select("source_rank", "ordinal", "text"),
-    over_postings("""select source_rank, ordinal, text from (select *, row_number() over (partition by text_norm order by source_rank, ordinal) as rn from txt) where rn = 1""", *LAB))
+    over_postings("""select cast(source_rank as bigint) as source_rank, ordinal, text from (select *, row_number() over (partition by text_norm order by source_rank, ordinal) as rn from txt) where rn = 1""", *LAB))
 ANN = [
     ("ann0", f"select *, {_n} as nk from postings where {d.strip('description')} <> ''"),
     ("ann", f"""select *, concat_ws('|', source, {d.short_hash('nk')}) as aid, cast(length(description) < 200 as bigint) as short_text,
@@ -513,7 +511,7 @@ ANN = [
   from (select *, count(*) over (partition by nk) as duplicate_count, row_number() over (partition by nk order by source_rank, ordinal) as rn from ann0) where rn = 1"""),
 ]
 add("a03_annotation_dedupe", lambda i: dedupe.annotation_dedupe(i.postings).select("source_rank", "ordinal", "duplicate_count"),
-    over_postings("select source_rank, ordinal, duplicate_count from ann", *ANN))
+    over_postings("select cast(source_rank as bigint) as source_rank, ordinal, duplicate_count from ann", *ANN))
 add("a04_counts_by", lambda i: stats.counts_by(i.postings, "source", "fraudulent"), over_postings("select source, fraudulent, count(*) as n from postings group by 1, 2"))
 add("a05_crosstab_margins", lambda i: stats.crosstab_margins(i.dataset),
     over_postings("""select case when grouping(source) = 1 then 'All' else source end as source, case when grouping(source) = 1 then '' else split end as split,

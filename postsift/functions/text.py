@@ -160,11 +160,18 @@ def collapse_keep_lines(c) -> Column:
 
 def _staged(df, source, target, steps):
     """Apply steps as separate projections: each reads its input more than once,
-    so Catalyst keeps them apart and every pattern runs once per row."""
+    so Catalyst keeps them apart and every pattern runs once per row.
+
+    The last step leaves through a one-element generator. Later filters on what was
+    made of the text stop there instead of repeating the whole chain below it, while
+    filters on other columns still reach the scan.
+    """
     df = df.withColumn(target, _col(source))
-    for step in steps:
+    for step in steps[:-1]:
         df = df.withColumn(target, step(F.col(target)))
-    return df
+    columns = df.columns
+    done = df.select(*[c for c in columns if c != target], F.explode(F.array(steps[-1](F.col(target)))).alias(target))
+    return done.select(*columns)
 
 
 def _markup_steps(elements, tag_text=" "):

@@ -9,12 +9,12 @@ BROADCAST_PAGE = 10_000
 
 
 def user_postings(postings: DataFrame, user_id=None) -> DataFrame:
-    return postings if user_id is None else postings.filter(F.col("user_id") == user_id)
+    return postings if not user_id else postings.filter(F.col("user_id") == user_id)
 
 
 def history_page(postings: DataFrame, page=1, per_page=10, user_id=None) -> DataFrame:
-    """One page of postings, newest first; a page past the end is empty."""
-    mine = user_postings(postings, user_id)
+    """One page of postings, newest first; a page past the end is empty, one before the first is the first."""
+    mine, page = user_postings(postings, user_id), max(page, 1)
     return mine.orderBy(F.desc("submitted_at"), F.asc("posting_id")).offset((page - 1) * per_page).limit(per_page)
 
 

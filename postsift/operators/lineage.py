@@ -5,14 +5,13 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def _checkpoint_dir(spark) -> None:
+def shared_folder(spark) -> str:
+    """The folder all executors share; in local runs without one, a new temporary folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -21,5 +20,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used where one result feeds several branches, or where range boundaries that
     were sampled must not be sampled again.
     """
-    _checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
