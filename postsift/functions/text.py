@@ -158,20 +158,21 @@ def collapse_keep_lines(c) -> Column:
     return strip(F.when(has_any(c, _RARE_WS), rare).otherwise(usual))
 
 
-def _staged(df, source, target, steps):
-    """Apply steps as separate projections: each reads its input more than once,
-    so Catalyst keeps them apart and every pattern runs once per row.
+def _staged(df, columns, steps):
+    """Apply steps to columns (target: source) as separate projections: each reads its
+    input more than once, so Catalyst keeps them apart and every pattern runs once per row.
 
     The last step leaves through a one-element generator. Later filters on what was
     made of the text stop there instead of repeating the whole chain below it, while
     filters on other columns still reach the scan.
     """
-    df = df.withColumn(target, _col(source))
+    df = df.withColumns({target: _col(source) for target, source in columns.items()})
     for step in steps[:-1]:
-        df = df.withColumn(target, step(F.col(target)))
-    columns = df.columns
-    done = df.select(*[c for c in columns if c != target], F.explode(F.array(steps[-1](F.col(target)))).alias(target))
-    return done.select(*columns)
+        df = df.withColumns({target: step(F.col(target)) for target in columns})
+    order = df.columns
+    last = F.struct(*[steps[-1](F.col(target)).alias(target) for target in columns])
+    done = df.select(*[c for c in order if c not in columns], F.inline(F.array(last)))
+    return done.select(*order)
 
 
 def _markup_steps(elements, tag_text=" "):
@@ -180,16 +181,21 @@ def _markup_steps(elements, tag_text=" "):
 
 
 
+def with_clean_columns(df, columns: dict, elements=DROPPED_ELEMENTS, tag_text=" ", finish=collapse):
+    """:func:`with_clean_html` of several columns at once, so rows go to Python once."""
+    last = lambda c: or_empty(finish(c))
+    return _staged(df, columns, [*_markup_steps(elements, tag_text), nfkc, map_homoglyphs, last])
+
+
 def with_clean_html(df, source, target: str, elements=DROPPED_ELEMENTS, tag_text=" ", finish=collapse):
     """One line of visible text, look-alikes mapped; null and blank give ''."""
-    steps = [*_markup_steps(elements, tag_text), nfkc, map_homoglyphs, lambda c: or_empty(finish(c))]
-    return _staged(df, source, target, steps)
+    return with_clean_columns(df, {target: source}, elements, tag_text, finish)
 
 
 def with_clean_lines(df, source, target: str):
     """Visible text with line breaks kept, since they end sentences."""
-    finish = lambda c: or_empty(collapse_keep_lines(c))
-    return _staged(df, source, target, [*_markup_steps(DROPPED_ELEMENTS), mask_tokens, nfkc, map_homoglyphs, finish])
+    last = lambda c: or_empty(collapse_keep_lines(c))
+    return _staged(df, {target: source}, [*_markup_steps(DROPPED_ELEMENTS), mask_tokens, nfkc, map_homoglyphs, last])
 
 
 # --- segmentation and tokens -----------------------------------------------

@@ -29,8 +29,7 @@ def standardize_base(raw: DataFrame, source: str = vocab.CORPUS_SOURCE) -> DataF
     take no part in it.
     """
     df = raw.withColumn("source_id", F.col("job_id"))
-    for name in _HTML:
-        df = text.with_clean_html(df, name, name)
+    df = text.with_clean_columns(df, {name: name for name in _HTML})
     df = df.withColumn("_contact", F.concat_ws(" ", "company_profile", "description", "requirements"))
     df = df.withColumn("contact_email_domain", text.or_empty(email.contact_domain("_contact", normalized=True))).withColumns({
         "source": F.lit(source),
