@@ -237,3 +237,19 @@ def test_conform_and_backfill(spark):
     row = conform.conform_unified(df).first()
     assert list(row.asDict()) == vocab.UNIFIED_COLUMNS and row["title"] == "" and row["fraudulent"] == "3" and row["url"] == ""
     assert set(vocab.LABEL_VIEW_COLUMNS) <= set(conform.backfill_columns(df).columns)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test tables")
+def test_training_from_dataset_to_stored_model(spark, folder):
+    from checks import catalog
+    from postsift.plans import training
+    data = catalog.Inputs(spark, "/root/testdata/sf0.001").dataset
+    run = training.train_and_evaluate(data, folder, {"numTrees": [4], "maxDepth": [3]}, folds=2, sample=5)
+    assert run["predictions"].count() == data.filter("split = 'test'").count()
+    assert run["scores"].count() == 1 and run["report"].count() == 5 and run["importance"].count() == 15
+    assert run["shap_summary"].count() == 15 and run["metrics"].first()["best_params"] == {"numTrees": "4", "maxDepth": "3"}
+    loaded, _ = sinks.load_model(spark, folder)
+    table = forest.assemble(sinks.cached_features(data, f"{folder}/features"), ["id"])
+    both = forest.fraud_probability(run["model"], table, ["id"]).join(
+        forest.fraud_probability(loaded, table, ["id"]).withColumnRenamed("p", "q"), "id")
+    assert both.filter("p <> q").count() == 0 and both.count() == data.count()
