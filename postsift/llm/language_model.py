@@ -3,8 +3,9 @@
 Words are runs of letters in lower case. The corpus gives a table of word counts and a table of
 word-pair counts, both over all texts. A pair seen at least LEAST_SEEN times has the score
 count(pair) / count(first word); any other backs off to BACKOFF * count(word) / count(all words).
-Words beyond the VOCABULARY most frequent ones (ties: in order of the word) are one unknown
-word, as in any closed-vocabulary model, so a pair is one exact whole number, not a hash.
+The vocabulary is all words down to the count at which at most VOCABULARY words are as frequent;
+rarer ones are one unknown word, as in any closed-vocabulary model, so a pair is one exact whole
+number, not a hash.
 
 Pairs of a text are exploded once, by bucket of the pair, and each bucket counts its pairs and
 scores its texts' pairs against those counts. Pairs of two of the HOT most frequent words, the
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from postsift.operators.lineage import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-VOCABULARY = 1 << 18  # words with a number; the last number is the unknown word's
+VOCABULARY = 1 << 17  # words with a number at most, and one number for the unknown word
 HOT = 512  # words whose pairs are counted before the shuffle: 512 x 512 at most
 LEAST_SEEN, BACKOFF = 2, 0.4
-BUCKET_PAIRS = 2_000_000
+BUCKET_PAIRS = 4_000_000
+CHUNK = 512  # texts whose pairs travel in one row per bucket
+STEPS = 64  # of a doubling of the count, for the vocabulary's limit
 SHIFT = 20  # bits of a word's number in a pair's
 
 
@@ -94,8 +97,17 @@ def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     spark = docs.sparkSession
     counted = cut_lineage(word_counts(docs, text))
     all_words = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1).collect()  # at most VOCABULARY words
-    model = spark.sparkContext.broadcast(Model([r.word for r in top], [r.n for r in top], all_words, HOT))
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
+    steps = {r.step: r.words for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}  # 64 x STEPS at most
+    least, size = 1 << 30, 0
+    for at in sorted(steps, reverse=True):
+        size += steps[at]
+        if size > VOCABULARY:
+            break
+        least = at
+    frequent = counted.filter(step >= least).toArrow()  # at most VOCABULARY words
+    top = sorted(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
+    model = spark.sparkContext.broadcast(Model([w for w, _ in top], [n for _, n in top], all_words, HOT))
     hot = spark.sparkContext.broadcast(_hot_counts(docs, text, model))
     buckets = max(8, -(-all_words // BUCKET_PAIRS))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
@@ -106,38 +118,43 @@ def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
 
         m, (hot_pairs, hot_n) = model.value, hot.value
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            out = []
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, pairs = m.pairs(t)
-                own = m.is_hot(pairs)
-                score, seen = m.scores(pairs[own], hot_n[np.searchsorted(hot_pairs, pairs[own])])
-                first = float(m.alone(words[:1], False).sum())
-                out.append((row, doc, -1, len(words), int(seen.sum()), first + float(score.sum()), None))
-                rest = pairs[~own]
-                at = (rest * np.int64(-7046029254386353131) >> np.int64(33)) % buckets
+        for whole in batches:
+            for b in (whole.slice(k, CHUNK) for k in range(0, whole.num_rows, CHUNK)):
+                own, cold, cold_rows = [], [], []
+                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    words, pairs = m.pairs(t)
+                    here = m.is_hot(pairs)
+                    score, seen = m.scores(pairs[here], hot_n[np.searchsorted(hot_pairs, pairs[here])])
+                    own.append((row, doc, len(words), int(seen.sum()), float(m.alone(words[:1], False).sum() + score.sum())))
+                    cold.append(pairs[~here])
+                    cold_rows.append(np.full(len(cold[-1]), row))
+                    row += 1
+                rows_, docs_, words_, seen_, score_ = zip(*own)
+                yield batch(rows_, docs_, [-1] * len(own), words_, seen_, score_, [None] * len(own), [None] * len(own), b.column(0).type)
+                pairs, at_row = np.concatenate(cold), np.concatenate(cold_rows)
+                at = (pairs * np.int64(-7046029254386353131) >> np.int64(33)) % buckets
                 order = np.argsort(at, kind="stable")
                 edges = np.flatnonzero(np.diff(at[order], prepend=-1))
-                for s, e in zip(edges, [*edges[1:], len(order)]):
-                    out.append((row, None, int(at[order[s]]), 0, 0, 0.0, rest[order[s:e]]))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types(b.column(0).type))], names=names)
-
-    names = ["row", "doc_id", "bucket", "n_words", "n_seen", "score", "pairs"]
+                parts = [order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])]
+                n = len(parts)
+                yield batch([None] * n, [None] * n, [int(at[p[0]]) for p in parts], [0] * n, [0] * n, [0.0] * n,
+                            [pairs[p] for p in parts], [at_row[p] for p in parts], b.column(0).type)
 
-    def types(key_type):
-        return [pa.int64(), key_type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
+    def batch(*columns):
+        *columns, key_type = columns
+        types = [pa.int64(), key_type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["row", "doc_id", "bucket", "n_words", "n_seen", "score", "pairs", "pair_rows"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def bucket_scores(group: pd.DataFrame) -> pd.DataFrame:
         m = model.value
-        lengths = group.pairs.map(len).to_numpy()
-        pairs = np.concatenate(group.pairs.to_numpy())
+        pairs, at_row = np.concatenate(group.pairs.to_numpy()), np.concatenate(group.pair_rows.to_numpy())
         _, back, n = np.unique(pairs, return_inverse=True, return_counts=True)
         score, seen = m.scores(pairs, n[back])
-        at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        return pd.DataFrame({"row": group.row.to_numpy(), "n_seen": np.add.reduceat(seen.astype(np.int64), at), "score": np.add.reduceat(score, at)})
+        edges = np.flatnonzero(np.diff(at_row, prepend=-1))  # a text's pairs stand together
+        return pd.DataFrame({"row": at_row[edges], "n_seen": np.add.reduceat(seen.astype(np.int64), edges), "score": np.add.reduceat(score, edges)})
 
-    exploded = cut_lineage(rows.mapInArrow(explode, f"row long, doc_id {kind}, bucket int, n_words long, n_seen long, score double, pairs array<long>"))
+    exploded = cut_lineage(rows.mapInArrow(explode, f"row long, doc_id {kind}, bucket int, n_words long, n_seen long, score double, pairs array<long>, pair_rows array<long>"))
     cold = exploded.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket_scores, "row long, n_seen long, score double")
     parts = exploded.filter("bucket < 0").select("row", F.struct("doc_id").alias("own"), "n_words", "n_seen", "score").unionByName(
         cold.select("row", F.lit(None).cast(f"struct<doc_id:{kind}>").alias("own"), F.lit(0).cast("long").alias("n_words"), "n_seen", "score"))
