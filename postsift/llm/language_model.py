@@ -27,7 +27,7 @@ WORD = re.compile(r"[^\W\d_]+")
 VOCABULARY = 1 << 17  # words with a number at most, and one number for the unknown word
 HOT = 512  # words whose pairs are counted before the shuffle: 512 x 512 at most
 LEAST_SEEN, BACKOFF = 2, 0.4
-BUCKET_PAIRS = 4_000_000
+BUCKET_PAIRS, LEAST_BUCKETS = 4_000_000, 64
 CHUNK = 512  # texts whose pairs travel in one row per bucket
 STEPS = 64  # of a doubling of the count, for the vocabulary's limit
 SHIFT = 20  # bits of a word's number in a pair's
@@ -109,7 +109,7 @@ def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     top = sorted(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
     model = spark.sparkContext.broadcast(Model([w for w, _ in top], [n for _, n in top], all_words, HOT))
     hot = spark.sparkContext.broadcast(_hot_counts(docs, text, model))
-    buckets = max(8, -(-all_words // BUCKET_PAIRS))
+    buckets = max(LEAST_BUCKETS, -(-all_words // BUCKET_PAIRS))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
