@@ -7,6 +7,8 @@ of any length is read whole. Equal rows get equal rows; the input's other column
 
 from pyspark.sql import DataFrame, functions as F
 
+from postsift.operators.rows import filter_here
+
 # Function words of the four languages, as written in lower case.
 STOP_WORDS = {
     "en": "the of and to a in is that it for was on are as with be by at from this or an he",
@@ -98,4 +100,4 @@ def judge(docs: DataFrame, key="doc_id", text="text", thresholds=THRESHOLDS) ->
 def keep_good(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns; keys may be null or repeated."""
     carried = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_body"))
-    return judge(carried, "_row", "_body").filter("kept").select("doc_id.*")
+    return filter_here(judge(carried, "_row", "_body"), F.col("kept")).select("doc_id.*")
