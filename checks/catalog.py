@@ -807,7 +807,7 @@ add("m04_train_forest", lambda i: (lambda t, m: forest.classify(m, forest.assemb
 add("m05_grid_search", lambda i: (lambda t: forest.grid_search(forest.assemble(split.with_folds(t, 2, label="y"), ["fold", "y"]), SMALL)["cv_results"])(i.vectors.filter("split = 'train'")))
 add("m09_classify", lambda i: (lambda t, m: scoring.classify_features(t, m).select("id", "label", "confidence_score", "is_stub"))(*_fitted(i)))
 add("m11_feature_importance", lambda i: forest.feature_importance(i.spark, _fitted(i)[1]))
-add("w07_importance_rank", lambda i: forest.feature_importance(i.spark, _fitted(i)[1]).limit(5))
+add("w07_importance_rank", lambda i: forest.feature_importance(i.spark, _fitted(i)[1]))
 add("m12_tree_paths", lambda i: _with_paths(i)[3].select("tree", "leaf", "value", F.aggregate("z", F.lit(1.0), lambda a, x: a * x).alias("reach")))
 add("m13_tree_shap", _additive)
 add("w04_top3_contributions", lambda i: (lambda t, m, l, p: shap.tree_shap(t, p).select("id", F.inline(shap.top3_contributions("shap"))))(*_with_paths(i)))

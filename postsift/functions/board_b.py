@@ -15,7 +15,7 @@ DROPPED_ELEMENTS = (*text.DROPPED_ELEMENTS, "svg")
 
 def element(html, name: str, attribute: str = "") -> Column:
     """Inner HTML of the first such element, or of its open rest; null if none."""
-    opening = rf"(?i)<{name}\b[^>]*{attribute}[^>]*>" if attribute else rf"(?i)<{name}\b[^>]*>"
+    opening = rf"(?i)<{name}\b[^<>]*{attribute}[^<>]*+>" if attribute else rf"(?i)<{name}\b[^<>]*+>"
     inside = rf"((?:[^<]++|<(?!/{name}\s*>))*+)"
     html = _col(html)
     return F.when(html.rlike(opening), F.regexp_extract(html, opening + inside, 1))
@@ -37,7 +37,7 @@ def h1_title(html, joiner=" ") -> Column:
 
 
 def company_link_texts(html) -> Column:
-    pattern = r"""(?is)<a\b[^>]*\bhref\s*=\s*["'][^"'>]*/company/[^>]*>(.*?)</a\s*>"""
+    pattern = r"""(?is)<a\b[^<>]*(?<![\w-])href\s*=\s*["']?[^"'<>\s]*/company/[^<>]*+>((?:[^<]++|<(?!/?a\b))*+)</a\s*>"""
     return F.regexp_extract_all(_col(html), F.lit(pattern), F.lit(1))
 
 

@@ -41,15 +41,16 @@ def or_empty(c) -> Column:
 # --- markup ----------------------------------------------------------------
 
 DROPPED_ELEMENTS = ("script", "style", "noscript")
-TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
-ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# A tag ends at the next "<" too, so a run of unclosed ones is read once.
+TAG = r"</?[A-Za-z][^<>]*+>|<[!?][^<>]*+>"
+ENTITY = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def drop_elements(c, elements=DROPPED_ELEMENTS) -> Column:
     """Remove comments and the given elements together with what they contain."""
     out = F.regexp_replace(_col(c), r"(?s)<!--.*?(?:-->|\z)", "")
     for name in elements:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?(?:</{name}\s*>|\z)", " ")
+        out = F.regexp_replace(out, rf"(?is)<{name}\b[^<>]*+>.*?(?:</{name}\s*>|\z)", " ")
     return out
 
 
@@ -67,7 +68,9 @@ def _code_point(number) -> Column:
 
 def _decode_piece(piece) -> Column:
     name = piece["name"]
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+    # Leading zeros go; nine digits are enough to be beyond all characters.
+    plain = F.substring(F.regexp_replace(name, "^#[xX]?0*(?=.)", ""), 1, 9)
+    digits = F.when(name.rlike("^#[xX]"), F.conv(plain, 16, 10)).otherwise(plain)
     char = F.when(name.startswith("#"), _code_point(digits.cast("bigint"))).otherwise(F.try_element_at(_entity_table(), name))
     rest = F.substring(piece["text"], F.length(name) + 3, F.length(piece["text"]))
     return F.when((name == "") | char.isNull(), piece["text"]).otherwise(F.concat(char, rest))

@@ -7,7 +7,7 @@ from postsift.functions import board_a, board_b, email, keys, text
 from postsift.operators.rows import filter_here
 from postsift.sources.conform import conform_unified
 
-_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""
+_HREF = r"""(?is)<a\b[^<>]*?(?<![\w-])href\s*=\s*["']?([^"'<>\s]*)"""
 
 
 def page_links(html, base_url: str, prefix: str) -> Column:

@@ -165,3 +165,19 @@ def test_board_b_layouts(spark):
         "required_experience": "Mid-level", "function": "Accounting", "industry": "Banking", "description": "Line one Line two",
         "posted_date": "15 May 2025", "apply_by": "12 Jun 2025", "is_job_page": True}
     assert not no_body["is_job_page"] and no_tags["function"] == "" and no_tags["required_experience"] == ""
+
+
+def test_markup_is_read_once_and_references_whole(spark):
+    import time
+
+    from postsift.sources.pages import page_links
+
+    long = spark.createDataFrame([("<a" * 500_000,), ("<script" * 100_000,)], "t string")
+    start = time.time()
+    long.select(text.strip_html("t").alias("t")).collect()
+    assert time.time() - start < 20
+    rows = spark.createDataFrame([("&#00000065;&#x0000041;&#99999999999;",)], "t string")
+    assert rows.select(text.strip_html("t").alias("t")).first().t == "AA\ufffd"
+    page = '<a data-href="/l/x" href="/l/y">y</a><a href=/l/z>z</a>'
+    rows = spark.createDataFrame([(page,)], "t string")
+    assert rows.select(page_links("t", "http://h", "/l/").alias("u")).first().u == ["http://h/l/y", "http://h/l/z"]
