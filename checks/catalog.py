@@ -700,7 +700,7 @@ add("m15_stub_explain",
 add("m16_summary_text",
     lambda i: verdict.stub_classify(i.features).withColumn("r", verdict.stub_reasons("free_email_flag", "urgency_term_count", "ttr")).select("doc_id", verdict.summary_text("r", "label").alias("summary")),
     over_postings("select doc_id, summary from stub", TX, *FEAT, *STUB))
-add("m17_explain_only_fraud", lambda i: filter_here(shap.explain(verdict.stub_classify(i.features), None, "doc_id").select("doc_id", "label", "summary"), F.col("summary").isNotNull()),
+add("m17_explain_only_fraud", lambda i: filter_here(shap.explain(verdict.stub_classify(i.features)).select("doc_id", "label", "summary"), F.col("summary").isNotNull()),
     over_postings("select doc_id, label, summary from stub where label = 'fraudulent'", TX, *FEAT, *STUB))
 SUBS = ("acc", f"select submission_id, {d.strip('text')} as text, source_platform, user_id, submitted_at from submissions where ({_REASON}) is null")
 _SCORED = "substring(sha256(concat('posting:', submission_id)), 1, 32) as posting_id, label, 0.5::double as confidence_score, true as is_stub, case when label = 'fraudulent' then summary end as summary"

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from postsift.functions import keys
+from postsift.operators.hotkeys import left_join_hot
 
 
 def label_nunique_by_text(df: DataFrame, text_norm="text_norm", label="fraudulent") -> DataFrame:
@@ -35,12 +36,14 @@ def dedupe_keep_first(df: DataFrame, key_text="text_norm", order_by=("source_ran
 def conflict_anti_join(df: DataFrame, text_norm="text_norm", label="fraudulent") -> DataFrame:
     """All rows, copies included, whose text carries a single label.
 
-    Conflicting texts are aggregated to keys first; the anti join then reads a table
-    with one row per conflicting text.
+    Labels are counted per text first. Rows of a text that makes up a large share of the
+    table are then spread over all tasks (``left_join_hot``).
     """
-    keyed = df.withColumn("_key", keys.text_key(text_norm))
-    conflicts = keyed.groupBy("_key").agg(F.min(label).alias("_lo"), F.max(label).alias("_hi")).filter("_lo <> _hi")
-    return keyed.join(conflicts.select("_key"), "_key", "left_anti").select(*df.columns)
+    keyed = df.withColumn("_text", F.hex(keys.text_key(text_norm)))
+    facts = keyed.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), (F.min(label) != F.max(label)).alias("_clash"))
+    total = facts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    joined = left_join_hot(keyed, facts, "_text", "_n", total)
+    return joined.filter(~F.coalesce("_clash", F.lit(False))).select(*df.columns)
 
 
 def annotation_dedupe(df: DataFrame, order_by=("source_rank", "ordinal")) -> DataFrame:

@@ -83,7 +83,7 @@ def ranking_metrics(df: DataFrame, keys=()) -> DataFrame:
         earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # one row per key: folds x settings
         base = per_key.select(*keys, *[
             F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(b) for c, b in (("_P", "_base_tp"), ("_N", "_base_fp"))])
-        run = run.join(base, keys).withColumns({"_run_tp": F.col("_run_tp") - F.col("_base_tp"), "_run_fp": F.col("_run_fp") - F.col("_base_fp")})
+        run = run.join(F.broadcast(base), keys).withColumns({"_run_tp": F.col("_run_tp") - F.col("_base_tp"), "_run_fp": F.col("_run_fp") - F.col("_base_fp")})
     d = lambda c: F.col(c).cast("double")
     pos, neg = F.sum("_tp").cast("double"), F.sum("_fp").cast("double")
     above = F.sum(d("_tp") * (d("_run_fp") - d("_fp") / 2))

@@ -1,7 +1,10 @@
 """Random forests over feature tables."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,10 +29,20 @@ def assemble(df: DataFrame, keep) -> DataFrame:
     return VectorAssembler(inputCols=vocab.FEATURE_ORDER, outputCol="features").transform(inputs).select(*keep, "features")
 
 
-def feature_label_join(features: DataFrame, dataset: DataFrame, key="id") -> DataFrame:
-    """Features with label, split and group, matched by posting id."""
-    labels = dataset.select(key, "source", "split", "group", F.col("fraudulent").cast("int").alias("y"))
-    return labels.join(features.select(key, *vocab.FEATURE_ORDER), key)
+def feature_label_join(features: DataFrame, dataset: DataFrame, text="text") -> DataFrame:
+    """Features with label, split and group: one row per row of ``dataset`` whose text has features.
+
+    Matched by text, of which features follow. An id may be repeated (an edited posting keeps
+    its own), so it would multiply rows.
+    """
+    by_text = features.groupBy(F.sha2(text, 256).alias("_key")).agg(*[F.any_value(c).alias(c) for c in vocab.FEATURE_ORDER])
+    labels = dataset.select(F.sha2(text, 256).alias("_key"), "id", "source", "split", "group", F.col("fraudulent").cast("int").alias("y"))
+    return labels.join(by_text, "_key").drop("_key")
+
+
+def labelled_features(featured: DataFrame) -> DataFrame:
+    """The same of a dataset that carries its features already: no join."""
+    return featured.select("id", "source", "split", "group", F.col("fraudulent").cast("int").alias("y"), *vocab.FEATURE_ORDER)
 
 
 def balanced_weights(df: DataFrame, label="y", keys=()) -> DataFrame:
@@ -42,7 +55,7 @@ def balanced_weights(df: DataFrame, label="y", keys=()) -> DataFrame:
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_classes"))
         weights = counts.join(totals, list(keys))
         weights = weights.select(*keys, label, (F.col("_total") / (F.col("_classes") * F.col("_n"))).alias("weight"))
-        return df.join(weights, [*keys, label])
+        return df.join(F.broadcast(weights), [*keys, label])  # a row per fold and class
     facts = {r[label]: r["_n"] for r in counts.collect()}  # one row per class
     total, classes = sum(facts.values()), len(facts)
     chain = F
@@ -69,22 +82,26 @@ def fraud_probability(model, df: DataFrame, keep) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"))
 
 
-def grid_search(train: DataFrame, grid=None, seed=vocab.SEED) -> dict:
+def grid_search(train: DataFrame, grid=None, seed=vocab.SEED, parallelism=4) -> dict:
     """Try each parameter set on each fold, then refit the best on all of ``train``.
 
-    ``train`` has (features, y, fold). Each forest trains on the cluster; the loop runs
-    over settings and folds only. Out-of-fold predictions stay in storage.
+    ``train`` has (features, y, fold). Each forest trains on the cluster, ``parallelism`` of them
+    at a time; the driver loops over settings and folds only. Out-of-fold predictions stay in
+    storage.
     """
     train = cut_lineage(train)
     folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
     sets = param_sets(grid)
-    predictions = None
-    for number, params in enumerate(sets):
-        for fold in folds:
-            model = train_forest(train.filter(F.col("fold") != fold), params, seed)
-            held_out = fraud_probability(model, train.filter(F.col("fold") == fold), ["fold", "y"])
-            held_out = cut_lineage(held_out.withColumn("param_id", F.lit(number)))
-            predictions = held_out if predictions is None else predictions.unionByName(held_out)
+
+    def held_out(number, fold):
+        model = train_forest(train.filter(F.col("fold") != fold), sets[number], seed)
+        scored = fraud_probability(model, train.filter(F.col("fold") == fold), ["fold", "y"])
+        return cut_lineage(scored.withColumn("param_id", F.lit(number)))
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        run = inheritable_thread_target(train.sparkSession)(held_out)
+        fits = [pool.submit(run, n, fold) for n in range(len(sets)) for fold in folds]
+        predictions = reduce(DataFrame.unionByName, [f.result() for f in fits])
     results = cut_lineage(evaluate.cv_results(predictions))
     best = evaluate.top_params(results, 1).first()
     return {

@@ -1,5 +1,6 @@
 """Cutting lineage in storage that outlives executors."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ def shared_folder(spark) -> str:
     """The folder all executors share; in local runs without one, a new temporary folder."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if shared is None and not context.master.startswith("local"):
+    if shared is None and not re.match(r"local(\[|$)", context.master):  # local-cluster is a cluster
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return shared or tempfile.mkdtemp(prefix="run-", dir="/tmp")
 

@@ -13,7 +13,7 @@ is a polynomial of degree under 15, so eight Gauss-Legendre nodes integrate it e
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import vocab
 from postsift.functions import verdict
@@ -90,57 +90,58 @@ def leaf_contributions(x, value, lo, hi, z) -> np.ndarray:
     return out
 
 
-def _arrays(rows):
-    return (np.array([r["value"] for r in rows]),
-            *(np.array([r[c] for r in rows]).reshape(-1, N) for c in ("lo", "hi", "z")))
+class Explainer:
+    """A forest's paths, read once and sent to the executors in slices of bounded size."""
 
+    def __init__(self, paths: DataFrame, slice_bytes=SLICE_BYTES):
+        context = paths.sparkSession.sparkContext
+        size = paths.agg(F.count(F.lit(1)), F.countDistinct("tree")).first()
+        self.trees = size[1]
+        slices = max(1, -(-size[0] * _PATH_BYTES // slice_bytes))
+        numbered = paths.withColumn("_slice", F.pmod(F.xxhash64("tree", "leaf"), F.lit(slices)))
+        # A slice at a time on the driver, as columns.
+        self.slices = [context.broadcast(_arrays(numbered.filter(F.col("_slice") == k).toArrow())) for k in range(slices)]
 
-def _contribute(df: DataFrame, rows, n_trees: int, when: str | None) -> DataFrame:
-    """Add the ``shap`` column from one slice of leaves that every task gets whole."""
-    leaves = df.sparkSession.sparkContext.broadcast(_arrays(rows))
-    schema = T.StructType([*df.schema.fields, T.StructField("shap", T.ArrayType(T.DoubleType()))])
+    def column(self, number: int, features: Column, wanted: Column) -> Column:
+        """Contributions of one slice's leaves; null where not wanted. Only the features go to Python."""
+        leaves, trees = self.slices[number], self.trees
 
-    def run(batches):
-        value, lo, hi, z = leaves.value
-        chunk = 1024
-        for batch in batches:
-            wanted = np.ones(len(batch), bool) if when is None else batch[when].fillna(False).to_numpy(bool)
-            x = batch.loc[wanted, vocab.FEATURE_ORDER].to_numpy(float)
-            total = np.zeros_like(x)
-            for c in range(0, len(value), chunk):
-                s = slice(c, c + chunk)
-                total += leaf_contributions(x, value[s], lo[s], hi[s], z[s])
-            shap = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            shap[wanted] = pd.Series(list(total / n_trees), index=batch.index[wanted], dtype=object)
-            yield batch.assign(shap=shap)
+        @F.pandas_udf("array<double>")
+        def contribute(x: pd.Series) -> pd.Series:
+            value, lo, hi, z = leaves.value
+            out = pd.Series([None] * len(x), index=x.index, dtype=object)
+            there = x.notna()
+            if there.any():
+                rows = np.vstack(x[there].to_numpy()).astype(float)
+                total = np.zeros_like(rows)
+                for c in range(0, len(value), 1024):
+                    s = slice(c, c + 1024)
+                    total += leaf_contributions(rows, value[s], lo[s], hi[s], z[s])
+                out[there] = pd.Series(list(total / trees), index=x.index[there], dtype=object)
+            return out
 
-    return df.mapInPandas(run, schema)
+        return contribute(F.when(wanted, features))
 
 
-def tree_shap(df: DataFrame, paths: DataFrame, when: str | None = None, key="id", slice_bytes=SLICE_BYTES) -> DataFrame:
+def _arrays(table):
+    wide = lambda c: np.array(table[c].to_pylist(), float).reshape(-1, N)
+    return np.array(table["value"].to_pylist(), float), wide("lo"), wide("hi"), wide("z")
+
+
+def tree_shap(df: DataFrame, paths, when: str | None = None, slice_bytes=SLICE_BYTES) -> DataFrame:
     """Append ``shap``: one contribution per feature in model order, null where ``when`` is false.
 
-    The path table grows with the model, not with the data. Up to ``slice_bytes`` of it
-    go to every task and nothing is shuffled. A larger forest is cut into slices of that
-    size; contributions add up over leaves, so each slice gives a partial sum per ``key``.
+    ``paths`` is a path table or an ``Explainer`` made of one. It grows with the model, not with
+    the data, and goes to the tasks in slices. Contributions add up over leaves, so they add up
+    over slices: one plan for forests of all sizes, and no shuffle.
     """
-    size = paths.agg(F.count(F.lit(1)), F.countDistinct("tree")).first()
-    slices = max(1, -(-size[0] * _PATH_BYTES // slice_bytes))
-    if slices == 1:
-        return _contribute(df, paths.collect(), size[1], when)
-    numbered = paths.withColumn("_slice", F.pmod(F.xxhash64("tree", "leaf"), F.lit(slices)))
-    inputs = df.select(key, *([when] if when else []), *vocab.FEATURE_ORDER)
-    parts = None
-    for number in range(slices):
-        rows = numbered.filter(F.col("_slice") == number).collect()  # at most about slice_bytes
-        if not rows:
-            continue
-        part = _contribute(inputs, rows, size[1], when).select(key, F.posexplode("shap"))
-        parts = part if parts is None else parts.unionByName(part)
-    summed = parts.groupBy(key, "pos").agg(F.sum("col").alias("v"))
-    shap = summed.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("shap"))
-    return df.join(shap, key, "left")
+    forest = paths if isinstance(paths, Explainer) else Explainer(paths, slice_bytes)
+    features = F.array(*[F.col(c).cast("double") for c in vocab.FEATURE_ORDER])
+    wanted = F.lit(True) if when is None else F.coalesce(F.col(when), F.lit(False))
+    out = df.withColumn("shap", forest.column(0, features, wanted))
+    for number in range(1, len(forest.slices)):
+        out = out.withColumn("shap", F.zip_with("shap", forest.column(number, features, wanted), lambda a, b: a + b))
+    return out
 
 
 # --- explanations --------------------------------------------------------------
@@ -160,14 +161,17 @@ def top3_contributions(shap) -> Column:
     )).cast(verdict.REASON_TYPE)
 
 
-def explain(df: DataFrame, paths: DataFrame | None, key="id") -> DataFrame:
-    """Append ``top_features`` and ``summary`` for fraudulent rows; null for the others."""
+def explain(df: DataFrame, paths=None) -> DataFrame:
+    """Append ``top_features`` and ``summary`` for fraudulent rows; null for the others.
+
+    ``paths``: a path table, an ``Explainer``, or None for the stub reasons.
+    """
     flagged = df.withColumn("_flagged", F.col("label") == verdict.FRAUD)
     if paths is None:
         reasons = verdict.stub_reasons("free_email_flag", "urgency_term_count", "ttr")
         out = flagged.withColumn("top_features", F.when(F.col("_flagged"), reasons))
     else:
-        out = tree_shap(flagged, paths, "_flagged", key).withColumn("top_features", top3_contributions("shap"))
+        out = tree_shap(flagged, paths, "_flagged").withColumn("top_features", top3_contributions("shap"))
     return out.withColumn("summary", verdict.summary_text("top_features", "label")).withColumn(
         "summary", F.when(F.col("_flagged"), F.col("summary"))).drop("_flagged", "shap")
 

@@ -51,7 +51,8 @@ def group_stratified_split(df: DataFrame, test_size=0.2, seed=vocab.SEED, group=
 
 def split_leaks(df: DataFrame, group="group", split="split") -> DataFrame:
     """Groups that are in both splits; there must be none."""
-    sides = df.groupBy(group).agg(F.min(split).alias("_a"), F.max(split).alias("_b"))
+    test = (F.col(split) == "test").cast("int")
+    sides = df.groupBy(group).agg(F.min(test).alias("_a"), F.max(test).alias("_b"))
     return sides.filter("_a <> _b").select(group)
 
 

@@ -42,26 +42,26 @@ def build_dataset(base: DataFrame, local: DataFrame, min_chars=vocab.MIN_TEXT_CH
     """The training dataset. Inputs carry ``source_rank`` and ``ordinal`` (load order).
 
     Deduplicated rows are materialized once, since groups are dealt from them and then
-    joined back.
+    joined back. Stops if a group is in both splits.
     """
     texts = labelled_texts(base, local, min_chars, use_suggested, base_label_source)
     rows = cut_lineage(unique_texts(texts).drop("source_rank", "ordinal"))
-    return split.group_stratified_split(rows, test_size, seed).select(*vocab.DATASET_COLUMNS)
+    data = split.group_stratified_split(rows, test_size, seed).select(*vocab.DATASET_COLUMNS)
+    return split.assert_no_leak(data)
 
 
 def removal_stats(base: DataFrame, local: DataFrame, min_chars=vocab.MIN_TEXT_CHARS, use_suggested=False) -> DataFrame:
-    """How many rows were short, conflicting or copies."""
-    long_enough = labelled_texts(base, local, 0, use_suggested)
+    """How many rows were short, conflicting or copies: one scan, counts per text, then their sums."""
+    texts = labelled_texts(base, local, 0, use_suggested)
     short = F.col("text_chars") < min_chars
-    n_short = long_enough.agg(labels.count_if(short).alias("short"), F.lit(1).alias("_one"))
-    texts = long_enough.filter(~short).select("text_norm", "fraudulent", "source_rank", "ordinal")
+    known = F.when(~short, F.col("fraudulent").cast("int"))
     groups = texts.groupBy(keys.text_key("text_norm").alias("_key")).agg(
-        F.count(F.lit(1)).alias("n"), (F.min("fraudulent") != F.max("fraudulent")).alias("clash"))
-    removed = groups.agg(
-        F.coalesce(F.sum(F.when(F.col("clash"), F.col("n"))), F.lit(0)).alias("conflicting"),
-        F.coalesce(F.sum(F.when(~F.col("clash"), F.col("n") - 1)), F.lit(0)).alias("duplicates"),
-        F.lit(1).alias("_one"))
-    return n_short.join(removed, "_one").select("short", "conflicting", "duplicates")
+        labels.count_if(short).alias("short"), labels.count_if(~short).alias("n"), (F.min(known) != F.max(known)).alias("clash"))
+    total = lambda when, n: F.coalesce(F.sum(F.when(when, n)), F.lit(0))
+    return groups.agg(
+        F.coalesce(F.sum("short"), F.lit(0)).alias("short"),
+        total(F.col("clash"), F.col("n")).alias("conflicting"),
+        total(~F.col("clash"), F.col("n") - 1).alias("duplicates"))
 
 
 def summarize(dataset: DataFrame) -> dict[str, DataFrame]:

@@ -25,7 +25,7 @@ def score_accepted(accepted: DataFrame, model=None, paths=None) -> DataFrame:
     ids = accepted.withColumn("posting_id", submissions.stable_id("posting", "submission_id"))
     features = stylometry.extract_features(ids, "text")
     scored = classify_features(features, model)
-    explained = shap.explain(scored, paths, "posting_id")
+    explained = shap.explain(scored, paths)
     return explained.withColumn("classified_at", F.current_timestamp())
 
 

@@ -15,8 +15,7 @@ def train_and_evaluate(dataset: DataFrame, path: str, grid=None, folds=5, seed=v
     Writes features, model, path table and metrics under ``path``.
     """
     spark = dataset.sparkSession
-    features = sinks.cached_features(dataset.select("id", "text"), f"{path}/features").drop("text")
-    table = cut_lineage(forest.feature_label_join(features, dataset))
+    table = cut_lineage(forest.labelled_features(sinks.cached_features(dataset, f"{path}/features")))
     train = split.with_folds(table.filter("split = 'train'"), folds, seed, label="y")
     search = forest.grid_search(forest.assemble(train, ["fold", "y"]), grid, seed)
     model = search["model"]

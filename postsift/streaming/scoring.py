@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from postsift.operators import submissions
+from postsift.operators import shap, submissions
 from postsift.plans.scoring import score_accepted
 from postsift.sources.sinks import score_sink
 
@@ -24,8 +24,12 @@ def score_stream(stream: DataFrame, path: str, checkpoint: str, model=None, path
     """Start scoring a stream of submissions into the four tables and a table of rejects.
 
     Scoring keeps no state, so a batch gives what the batch job gives. Ids follow from
-    submissions and each batch owns its folders: running one again adds no rows.
+    submissions and each batch owns its folders: running one again, as Spark does from its
+    checkpoint, adds no rows. A new checkpoint with batches of another size does; readers can
+    then drop rows of equal ids, which are equal. The path table is sent once, not per batch.
     """
+    paths = None if paths is None else shap.Explainer(paths)
+
     def process(batch: DataFrame, batch_id: int) -> None:
         validated = submissions.validate_submissions(batch)
         score_sink(score_accepted(submissions.accepted(validated), model, paths), path, batch_id)

@@ -61,6 +61,28 @@ def test_hot_keys_keep_all_rows(spark):
     assert sorted((r["i"], r["g"], r["fold"]) for r in joined) == [(i, g, None if g == "k5" else first[g]) for i, g in enumerate(keys)]
 
 
+def test_repeated_ids_keep_their_rows(spark):
+    names = vocab.FEATURE_ORDER
+    data = spark.createDataFrame([("s:1", "old text", "0"), ("s:1", "new text", "1"), ("s:2", "new text", "0"), ("s:3", "unseen", "0")], "id string, text string, fraudulent string")
+    data = data.withColumns({"source": F.lit("s"), "split": F.lit("train"), "group": F.lit("g")})
+    features = spark.createDataFrame([(t, *[v] * len(names)) for t, v in (("old text", 1.0), ("new text", 2.0), ("new text", 2.0))],
+                                     "text string, " + ", ".join(f"{c} double" for c in names))
+    got = sorted((r["id"], r["y"], r["ttr"]) for r in forest.feature_label_join(features, data).collect())
+    assert got == [("s:1", 0, 1.0), ("s:1", 1, 2.0), ("s:2", 0, 2.0)]
+
+
+def test_pages_of_history_by_number_and_by_last_row(spark):
+    from postsift.operators import history
+    posts = spark.range(25).select(F.format_string("p%02d", "id").alias("posting_id"), F.lit("some text").alias("raw_text"), F.lit("web").alias("source_platform"),
+                                   F.timestamp_seconds(F.col("id") % 7).alias("submitted_at"), F.lit("u").alias("user_id"))
+    results = posts.filter("posting_id < 'p20'").select("posting_id", F.lit("fraudulent").alias("label"))
+    pages = [history.history(posts, posts.select("posting_id"), results, page=n, per_page=10).collect() for n in (1, 2, 3)]
+    assert [len(p) for p in pages] == [10, 10, 5] and len({r["posting_id"] for p in pages for r in p}) == 25
+    assert all((r["label"] is None) == (r["posting_id"] >= "p20") for p in pages for r in p)
+    last = pages[0][-1]
+    assert history.history(posts, posts.select("posting_id"), results, after=(last["submitted_at"], last["posting_id"])).collect() == pages[1]
+
+
 def test_split_of_skewed_groups(spark):
     r = random.Random(3)
     rows = [("big", str(int(r.random() < 0.05))) for _ in range(3000)] + [(f"g{i}", str(int(r.random() < 0.05))) for i in range(3000)]
