@@ -11,6 +11,7 @@ Pairs of a text are exploded once, by bucket of the pair, and each bucket counts
 scores its texts' pairs against those counts. Pairs of two of the HOT most frequent words, the
 only ones that can be frequent, are counted before any shuffle and scored where the text is, so
 no bucket holds more than its share and a word pair in a third of all texts costs nothing extra.
+Pairs travel, and scores come back, in one row per bucket and chunk of texts.
 """
 
 import re
@@ -19,6 +20,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from postsift.operators.lineage import cut_lineage
@@ -28,7 +30,7 @@ VOCABULARY = 1 << 17  # words with a number at most, and one number for the unkn
 HOT = 512  # words whose pairs are counted before the shuffle: 512 x 512 at most
 LEAST_SEEN, BACKOFF = 2, 0.4
 BUCKET_PAIRS, LEAST_BUCKETS = 4_000_000, 64
-CHUNK = 512  # texts whose pairs travel in one row per bucket
+CHUNK = 512  # texts whose pairs travel in one row per bucket, and whose scores come back so
 STEPS = 64  # of a doubling of the count, for the vocabulary's limit
 SHIFT = 20  # bits of a word's number in a pair's
 
@@ -117,49 +119,60 @@ def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
         from pyspark import TaskContext
 
         m, (hot_pairs, hot_n) = model.value, hot.value
-        row = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 40
         for whole in batches:
             for b in (whole.slice(k, CHUNK) for k in range(0, whole.num_rows, CHUNK)):
-                own, cold, cold_rows = [], [], []
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, cold, places = [], [], []
+                for place, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                     words, pairs = m.pairs(t)
                     here = m.is_hot(pairs)
                     score, seen = m.scores(pairs[here], hot_n[np.searchsorted(hot_pairs, pairs[here])])
-                    own.append((row, doc, len(words), int(seen.sum()), float(m.alone(words[:1], False).sum() + score.sum())))
+                    own.append((place, doc, len(words), int(seen.sum()), float(m.alone(words[:1], False).sum() + score.sum())))
                     cold.append(pairs[~here])
-                    cold_rows.append(np.full(len(cold[-1]), row))
-                    row += 1
-                rows_, docs_, words_, seen_, score_ = zip(*own)
-                yield batch(rows_, docs_, [-1] * len(own), words_, seen_, score_, [None] * len(own), [None] * len(own), b.column(0).type)
-                pairs, at_row = np.concatenate(cold), np.concatenate(cold_rows)
+                    places.append(np.full(len(cold[-1]), place, np.int16))
+                places_, docs_, words_, seen_, score_ = zip(*own)
+                n = len(own)
+                yield batch([chunk] * n, [-1] * n, places_, docs_, words_, seen_, score_, [None] * n, [None] * n, b.column(0).type)
+                pairs, at_place = np.concatenate(cold), np.concatenate(places)
                 at = (pairs * np.int64(-7046029254386353131) >> np.int64(33)) % buckets
                 order = np.argsort(at, kind="stable")
                 edges = np.flatnonzero(np.diff(at[order], prepend=-1))
                 parts = [order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])]
                 n = len(parts)
-                yield batch([None] * n, [None] * n, [int(at[p[0]]) for p in parts], [0] * n, [0] * n, [0.0] * n,
-                            [pairs[p] for p in parts], [at_row[p] for p in parts], b.column(0).type)
+                yield batch([chunk] * n, [int(at[p[0]]) for p in parts], [None] * n, [None] * n, [None] * n, [None] * n, [None] * n,
+                            [pairs[p] for p in parts], [at_place[p] for p in parts], b.column(0).type)
+                chunk += 1
 
     def batch(*columns):
         *columns, key_type = columns
-        types = [pa.int64(), key_type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["row", "doc_id", "bucket", "n_words", "n_seen", "score", "pairs", "pair_rows"]
+        types = [pa.int64(), pa.int32(), pa.int16(), key_type, pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16())]
+        names = ["chunk", "bucket", "place", "doc_id", "n_words", "n_seen", "score", "pairs", "places"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def bucket_scores(group: pd.DataFrame) -> pd.DataFrame:
         m = model.value
-        pairs, at_row = np.concatenate(group.pairs.to_numpy()), np.concatenate(group.pair_rows.to_numpy())
+        pairs, places = np.concatenate(group.pairs.to_numpy()), np.concatenate(group.places.to_numpy())
         _, back, n = np.unique(pairs, return_inverse=True, return_counts=True)
         score, seen = m.scores(pairs, n[back])
-        edges = np.flatnonzero(np.diff(at_row, prepend=-1))  # a text's pairs stand together
-        return pd.DataFrame({"row": at_row[edges], "n_seen": np.add.reduceat(seen.astype(np.int64), edges), "score": np.add.reduceat(score, edges)})
-
-    exploded = cut_lineage(rows.mapInArrow(explode, f"row long, doc_id {kind}, bucket int, n_words long, n_seen long, score double, pairs array<long>, pair_rows array<long>"))
-    cold = exploded.filter("bucket >= 0").groupBy("bucket").applyInPandas(bucket_scores, "row long, n_seen long, score double")
-    parts = exploded.filter("bucket < 0").select("row", F.struct("doc_id").alias("own"), "n_words", "n_seen", "score").unionByName(
-        cold.select("row", F.lit(None).cast(f"struct<doc_id:{kind}>").alias("own"), F.lit(0).cast("long").alias("n_words"), "n_seen", "score"))
-    summed = parts.groupBy("row").agg(F.max("own").alias("own"), F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("score").alias("log_score"))
-    return summed.select("own.doc_id", "n_words", "n_seen", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
+        text = np.repeat(np.arange(len(group)), group.pairs.map(len)) * CHUNK + places  # a text's pairs stand together
+        edges = np.flatnonzero(np.diff(text, prepend=-1))
+        cuts = np.searchsorted(text[edges], np.arange(1, len(group)) * CHUNK)
+        split = lambda values: np.split(values, cuts)
+        return pd.DataFrame({"chunk": group.chunk, "places": split(places[edges].astype(np.int16)),
+                             "seen": split(np.add.reduceat(seen.astype(np.int64), edges)), "scores": split(np.add.reduceat(score, edges))})
+
+    def add_up(own: pa.Table, cold: pa.Table) -> pa.Table:
+        place, seen, score = (own[c].to_numpy() for c in ("place", "n_seen", "score"))
+        at, more_seen, more_score = (pc.list_flatten(cold[c]).to_numpy() for c in ("places", "seen", "scores"))
+        seen = seen + np.bincount(at, more_seen, CHUNK).astype(np.int64)[place]
+        return pa.table({"doc_id": own["doc_id"], "n_words": own["n_words"], "n_seen": seen, "log_score": score + np.bincount(at, more_score, CHUNK)[place]})
+
+    exploded = cut_lineage(rows.mapInArrow(explode, f"chunk long, bucket int, place short, doc_id {kind}, n_words long, n_seen long, score double, pairs array<long>, places array<short>"))
+    cold = exploded.filter("bucket >= 0").select("chunk", "bucket", "pairs", "places").groupBy("bucket").applyInPandas(
+        bucket_scores, "chunk long, places array<short>, seen array<long>, scores array<double>")
+    own = exploded.filter("bucket < 0").select("chunk", "place", "doc_id", "n_words", "n_seen", "score")
+    summed = own.groupBy("chunk").cogroup(cold.groupBy("chunk")).applyInArrow(add_up, f"doc_id {kind}, n_words long, n_seen long, log_score double")
+    return summed.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
 def _hot_counts(docs, text, model):
