@@ -7,7 +7,7 @@ both sides.
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from checks import duck as d
 from postsift import vocab
@@ -769,15 +769,20 @@ def _cached(i):
 
 add("s17_feature_cache", _cached, over_postings("select doc_id, ttr, urgency_term_count::double as urgency_term_count, readability_score from feat", TX, *FEAT))
 
-# --- forests: rows and stated facts instead of SQL ------------------------------------------
+# --- forests: facts that hold for every fit, beside the rows that the fit must cover -----------
 
-SMALL = {"numTrees": [8], "maxDepth": [6], "minInstancesPerNode": [1, 3], "featureSubsetStrategy": ["sqrt"]}
+# A forest's splits are beyond SQL, so these queries fit on the whole dataset and return, for each
+# row, feature or tree, whether what must hold does. SMALL and SMALL_GRID keep fits of the check
+# short; ``train_forest`` and ``grid_search`` default to forest.GRID and 300 trees.
+SMALL = {"numTrees": 8, "maxDepth": 6}
+SMALL_GRID = {"numTrees": [8], "maxDepth": [6], "minInstancesPerNode": [1, 3], "featureSubsetStrategy": ["sqrt"]}
+GRID_FOLDS = 2
 
 
 def _fitted(i):
     table = cut_lineage(i.vectors)
     train = forest.assemble(table.filter("split = 'train'"), ["y"])
-    return table, forest.train_forest(train, {"numTrees": 8, "maxDepth": 6})
+    return table, forest.train_forest(train, SMALL)
 
 
 def _with_paths(i):
@@ -788,34 +793,115 @@ def _with_paths(i):
     return table, model, loaded, paths
 
 
-def _explained(i):
-    table, _, model, paths = _with_paths(i)
-    return shap.explain(scoring.classify_features(table, model), paths)
+def _trained(i):
+    table, model = _fitted(i)
+    both = forest.classify(model, forest.assemble(table, ["id"]), ["id"])
+    return both.select("id", F.col("label").isin("fraudulent", "legitimate").alias("labelled"), F.col("confidence_score").between(0.5, 1).alias("in_range"), "is_stub")
+
+
+def _classified(i):
+    table, model = _fitted(i)
+    p = forest.fraud_probability(model, forest.assemble(table, ["id", "y"]), ["id", "y"]).groupBy("id").agg(F.collect_set("p").alias("ps"))
+    rows = scoring.classify_features(table, model).join(p, "id")
+    share = F.when(F.col("label") == "fraudulent", F.col("confidence_score")).otherwise(1 - F.col("confidence_score"))
+    follows = F.exists("ps", lambda p: (F.abs(p - share) < 1e-9) & ((p > 0.5) == (F.col("label") == "fraudulent")))
+    return rows.select("id", F.col("confidence_score").between(0.5, 1).alias("in_range"), follows.alias("label_follows"), "is_stub")
+
+
+def _searched(i):
+    train = split.with_folds(i.vectors.filter("split = 'train'"), GRID_FOLDS, label="y")
+    found = forest.grid_search(forest.assemble(train, ["fold", "y"]), SMALL_GRID)
+    top = max(r["mean_pr_auc"] for r in found["cv_results"].select("mean_pr_auc").collect())  # one row per setting
+    best = F.col("param_id") == found["params"].index(found["best_params"])
+    sizes = found["predictions"].groupBy("param_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("fold").alias("n_folds"))
+    return sizes.join(F.broadcast(found["cv_results"]), "param_id").select(
+        "param_id", "n_rows", "n_folds", (~best | (F.col("mean_pr_auc") == top)).alias("best_is_top"))
+
+
+def _importance(i):
+    return forest.feature_importance(i.spark, _fitted(i)[1])
+
+
+def _importance_facts(i):
+    rows = _importance(i)
+    total = rows.agg(F.sum("importance")).first()[0]
+    return rows.select("feature", F.col("importance").between(0, 1).alias("in_range"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+def _importance_order(i):
+    """The places of the ranking, each with a value no higher than the place before."""
+    by_size = Window.orderBy(F.desc("importance"), "feature")  # fifteen rows
+    rows = _importance(i).select("importance", F.row_number().over(by_size).alias("place"), F.lag("importance").over(by_size).alias("before"))
+    return rows.select("place", (F.col("before").isNull() | (F.col("before") >= F.col("importance"))).alias("in_order"))
+
+
+def _reach(i):
+    """Shares of the leaves of each tree add up to one; fraud shares are shares."""
+    paths = _with_paths(i)[3]
+    return paths.groupBy("tree").agg(
+        (F.abs(F.sum(F.aggregate("z", F.lit(1.0), lambda a, x: a * x)) - 1) < 1e-9).alias("sums_to_one"),
+        (F.min(F.col("value").between(0, 1).cast("int")) == 1).alias("in_range"))
 
 
 def _additive(i):
     """Base value and contributions add up to the fraud probability of every row."""
     table, model, _, paths = _with_paths(i)
     base = paths.agg(shap.base_value(paths)).first()[0]
-    p = forest.fraud_probability(model, forest.assemble(table, ["id"]), ["id"])
+    p = forest.fraud_probability(model, forest.assemble(table, ["id"]), ["id"]).groupBy("id").agg(F.collect_set("p").alias("ps"))
     total = F.aggregate("shap", F.lit(base), lambda a, x: a + x)
-    return shap.tree_shap(table, paths).join(p, "id").select(
-        "id", (F.abs(total - F.col("p")) < 1e-9).alias("adds_up"), F.col("p").alias("p"))
-
-
-add("m04_train_forest", lambda i: (lambda t, m: forest.classify(m, forest.assemble(t, ["id"]), ["id"]))(*_fitted(i)))
-add("m05_grid_search", lambda i: (lambda t: forest.grid_search(forest.assemble(split.with_folds(t, 2, label="y"), ["fold", "y"]), SMALL)["cv_results"])(i.vectors.filter("split = 'train'")))
-add("m09_classify", lambda i: (lambda t, m: scoring.classify_features(t, m).select("id", "label", "confidence_score", "is_stub"))(*_fitted(i)))
-add("m11_feature_importance", lambda i: forest.feature_importance(i.spark, _fitted(i)[1]))
-add("w07_importance_rank", lambda i: forest.feature_importance(i.spark, _fitted(i)[1]))
-add("m12_tree_paths", lambda i: _with_paths(i)[3].select("tree", "leaf", "value", F.aggregate("z", F.lit(1.0), lambda a, x: a * x).alias("reach")))
-add("m13_tree_shap", _additive)
-add("w04_top3_contributions", lambda i: (lambda t, m, l, p: shap.tree_shap(t, p).select("id", F.inline(shap.top3_contributions("shap"))))(*_with_paths(i)))
-add("m14_explain", lambda i: _explained(i).select("id", "label", F.to_json("top_features").alias("top_features"), "summary"))
-add("m18_shap_summary", lambda i: (lambda t, m, l, p: shap.shap_summary(shap.tree_shap(ranking.seeded_sample(t, "id", 1000), p)).select(
-    "feature", "mean_abs", "mean", F.array_join(F.transform("quantiles", lambda v: F.round(v, 6).cast("string")), ",").alias("quantiles")))(*_with_paths(i)))
-add("s16_model_store", lambda i: (lambda t, m, l, p: forest.fraud_probability(m, forest.assemble(t, ["id"]), ["id"]).join(
-    forest.fraud_probability(l, forest.assemble(t, ["id"]), ["id"]).withColumnRenamed("p", "p_loaded"), "id").select("id", "p", (F.col("p") == F.col("p_loaded")).alias("same")))(*_with_paths(i)))
+    return shap.tree_shap(table, paths).join(p, "id").select("id", F.exists("ps", lambda p: F.abs(total - p) < 1e-9).alias("adds_up"))
+
+
+def _strongest(i):
+    """Three places per row: sizes that fall, none under a contribution left out."""
+    table, _, _, paths = _with_paths(i)
+    top = shap.tree_shap(table, paths).withColumn("top", shap.top3_contributions("shap"))
+    sizes = F.array_sort(F.transform("shap", lambda v: -F.abs(v)))
+    return top.select("id", F.posexplode("top").alias("place", "t"), sizes.alias("sizes")).select(
+        "id", "place", (F.abs(F.abs("t.shap_value") + F.get("sizes", F.col("place"))) < 1e-12).alias("in_order"),
+        (F.col("t.impact") == F.when(F.abs("t.shap_value") > 0.1, "high").otherwise("moderate")).alias("impact_follows"))
+
+
+def _explained(i):
+    """Frauds have three reasons and a summary; others have neither."""
+    table, _, model, paths = _with_paths(i)
+    rows = shap.explain(scoring.classify_features(table, model), paths)
+    full = (F.size("top_features") == 3) & F.col("summary").isNotNull()
+    none = F.col("top_features").isNull() & F.col("summary").isNull()
+    return rows.select("id", F.when(F.col("label") == "fraudulent", full).otherwise(none).alias("explained"))
+
+
+def _summarized(i):
+    table, _, _, paths = _with_paths(i)
+    rows = shap.shap_summary(shap.tree_shap(ranking.seeded_sample(table, "id", 1000), paths))
+    q = F.col("quantiles")
+    return rows.select("feature", (F.abs("mean") <= F.col("mean_abs") + 1e-12).alias("mean_bounded"), ((q[0] <= q[1]) & (q[1] <= q[2])).alias("quantiles_rise"))
+
+
+def _reloaded(i):
+    table, model, loaded, _ = _with_paths(i)
+    probability = lambda m, name: forest.fraud_probability(m, forest.assemble(table, ["id"]), ["id"]).groupBy("id").agg(F.sort_array(F.collect_list("p")).alias(name))
+    return probability(model, "p").join(probability(loaded, "q"), "id").select("id", (F.col("p") == F.col("q")).alias("same"))
+
+
+def _facts(*facts):
+    return ", ".join(f"true as {f}" for f in facts)
+
+
+_FEATURES = "(select unnest([" + ", ".join(d.q(f) for f in vocab.FEATURE_ORDER) + "]) as feature)"
+
+add("m04_train_forest", _trained, over_postings(f"select id, {_facts('labelled', 'in_range')}, false as is_stub from data", *DATA))
+add("m05_grid_search", _searched, over_postings(
+    f"select p.range as param_id, count(*) as n_rows, {GRID_FOLDS}::bigint as n_folds, true as best_is_top from data, range({len(forest.param_sets(SMALL_GRID))}) p where split = 'train' group by 1", *DATA))
+add("m09_classify", _classified, over_postings(f"select id, {_facts('in_range', 'label_follows')}, false as is_stub from data", *DATA))
+add("m11_feature_importance", _importance_facts, f"select feature, {_facts('in_range', 'sums_to_one')} from {_FEATURES}")
+add("w07_importance_rank", _importance_order, f"select range as place, true as in_order from range(1, {len(vocab.FEATURE_ORDER) + 1})")
+add("m12_tree_paths", _reach, f"select range as tree, {_facts('sums_to_one', 'in_range')} from range({SMALL['numTrees']})")
+add("m13_tree_shap", _additive, over_postings("select id, true as adds_up from data", *DATA))
+add("w04_top3_contributions", _strongest, over_postings(f"select id, p.range as place, {_facts('in_order', 'impact_follows')} from data, range(3) p", *DATA))
+add("m14_explain", _explained, over_postings("select id, true as explained from data", *DATA))
+add("m18_shap_summary", _summarized, f"select feature, {_facts('mean_bounded', 'quantiles_rise')} from {_FEATURES}")
+add("s16_model_store", _reloaded, over_postings("select distinct id, true as same from data", *DATA))
 
 
 def _metrics(i):

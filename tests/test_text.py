@@ -1,11 +1,13 @@
+import math
 import random
+import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from postsift import vocab
 from postsift.functions import board_a, board_b, email, keys, notes, stylometry, text, verdict
-from tests import plain
 
 GOLDEN = [
     "", "   ", "...!!!", "word", "\n\n", None,
@@ -43,14 +45,47 @@ def samples():
     return [s for s in GOLDEN if s is not None] + noise(600)
 
 
-def test_features_equal_plain_python(spark, samples):
+# Worked out by hand: text, then features.
+BY_HAND = [
+    # 7 words, 6 of them distinct; sentences of 3 and 4; 30 characters, 2 of them marks; a syllable each
+    ("The cat sat. The dog ran home!", {
+        "ttr": 6 / 7, "avg_sentence_length": 3.5, "sentence_length_variance": 0.25, "punctuation_density": 2 / 30,
+        "exclamation_density": 1 / 7, "readability_score": 118.6825, "gunning_fog_index": 1.4, "log_word_count": math.log(8),
+        "caps_word_ratio": 0.0, "urgency_term_count": 0, "money_mention_density": 0.0, "second_person_density": 0.0,
+        "messaging_app_mention": 0, "free_email_flag": False, "contact_email_domain": None}),
+    # ap-ple, queue, rhythm, tree, make, in-for-ma-tion: 10 syllables in 6 words, one word of three or more
+    ("apple queue rhythm tree make information", {"readability_score": 59.745, "gunning_fog_index": 0.4 * (6 + 100 / 6), "ttr": 1.0}),
+    ("word", {"ttr": 1.0, "readability_score": 121.22, "gunning_fog_index": 0.4, "sentence_length_variance": 0.0}),
+    # capitals: BIG and KES of the six words of three letters or more
+    ("BIG pay for Ann KES 500 now", {"caps_word_ratio": 2 / 6, "money_mention_density": 100 / 7}),
+    ("You send your CV to hr@firm.co.ke", {"second_person_density": 200 / 7, "contact_email_domain": "firm.co.ke", "free_email_flag": False}),
+    ("WhatsApp me: x@gmail.com", {"messaging_app_mention": 1, "contact_email_domain": "gmail.com", "free_email_flag": True}),
+    ("telegrams", {"messaging_app_mention": 0}),
+    ("...!!!", {"punctuation_density": 1.0, "exclamation_density": 3.0, "ttr": 0.0, "log_word_count": 0.0, "readability_score": 0.0}),
+    ("   ", {"punctuation_density": 0.0, "ttr": 0.0, "avg_sentence_length": 0.0}),
+]
+
+
+def test_features_by_hand(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(BY_HAND)], "i int, text string")
+    rows = {r["i"]: r for r in stylometry.extract_features(df, "text").collect()}
+    for i, (t, want) in enumerate(BY_HAND):
+        assert {n: rows[i][n] for n in want} == {n: pytest.approx(v, abs=1e-9) if isinstance(v, float) else v for n, v in want.items()}, t
+
+
+def test_ratios_follow_from_words_sentences_and_characters(spark, samples):
+    """Features over odd texts, counted again from their own tokens."""
     df = spark.createDataFrame(list(enumerate(samples)), "i int, text string")
-    rows = {r["i"]: r.asDict() for r in stylometry.extract_features(df, "text").collect()}
-    for i, s in enumerate(samples):
-        want = plain.features(s)
-        for name, value in want.items():
-            got = rows[i][name]
-            assert got == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), (name, s[:80])
+    got = {r["i"]: r for r in stylometry.extract_features(df, "text").collect()}
+    parts = text.with_clean_lines(df, "text", "t").select("i", "t", text.words(F.col("t")).alias("ws"), text.sentences(F.col("t")).alias("ss"))
+    for r in parts.collect():
+        f, lens, chars = got[r["i"]], [len(s.split()) for s in r["ss"]], Counter(r["t"])
+        assert f["log_word_count"] == pytest.approx(math.log(len(r["ws"]) + 1))
+        assert f["ttr"] == pytest.approx(len(Counter(map(str.lower, r["ws"]))) / (len(r["ws"]) or 1))
+        assert f["avg_sentence_length"] == pytest.approx(statistics.fmean(lens) if lens else 0)
+        assert f["sentence_length_variance"] == pytest.approx(statistics.pvariance(lens) if lens else 0, abs=1e-9)
+        assert f["punctuation_density"] == pytest.approx(sum(chars[c] for c in vocab.PUNCTUATION) / (chars.total() or 1))
+        assert f["exclamation_density"] == pytest.approx(chars["!"] / (len(r["ws"]) or 1))
 
 
 def test_long_unbroken_tokens_take_linear_time(spark):
@@ -65,17 +100,43 @@ def test_missing_text_gives_zeros(spark):
     assert row["ttr"] == row["readability_score"] == row["log_word_count"] == 0 and row["contact_email_domain"] is None
 
 
-def test_clean_and_tokens_equal_plain_python(spark, samples):
-    df = spark.createDataFrame(list(enumerate(samples)), "i int, t string")
-    cleaned = text.with_clean_html(text.with_clean_lines(df, "t", "lines"), "t", "line").orderBy("i").collect()
-    assert [r["lines"] for r in cleaned] == [plain.clean(s) for s in samples]
-    assert column(spark, samples, lambda c: text.segment(c)) == [plain.segment(s) for s in samples]
-    one_line = lambda s: " ".join(plain.homoglyphs(plain.strip_html(s)).split())
-    assert [r["line"] for r in cleaned] == [one_line(s) for s in samples]
-    cleaned = [plain.clean(s) for s in samples]
-    blank = {ord(c): " " for c in vocab.WS_CHARS}
-    assert column(spark, cleaned, text.sentences) == [[x.translate(blank) for x in plain.sentences(s)] for s in cleaned]
-    assert column(spark, cleaned, text.words) == [plain.WORD.findall(plain.segment(s)) for s in cleaned]
+CLEANED = [
+    ("<p>one<b>two</b></p><script>var a='<b>';</script><style>p{}</style>tail", "one two tail"),
+    ("&amp;lt; &eacute;&#233;&#xe9; <!-- c -->", "&lt; ééé"),
+    ("a < b and c > d", "a < b and c > d"),
+    ("<script>never closed", ""),
+    ("Contact #EMAIL_9f3a1c# or #URL_00ff#", "Contact [email] or [url]"),
+    ("\r\n line one\r\n\r\n line two \t tab ", "line one\nline two tab"),
+    ("Ｆｕｌｌ Visit оur", "Full Visit our"),
+]
+
+
+def scanned_words(s):
+    """Words by a walk over the characters: letters and digits, held together by single marks."""
+    found, word = [], ""
+    for c, after in zip(s, s[1:] + " "):
+        if c.isalnum() or (word and c in ".,'-" and after.isalnum()):
+            word += c
+        elif word:
+            found.append(word)
+            word = ""
+    return found + [word] * bool(word)
+
+
+def test_clean_text_by_hand(spark):
+    df = spark.createDataFrame(CLEANED, "t string, want string")
+    assert [r["got"] for r in text.with_clean_lines(df, "t", "got").collect()] == [w for _, w in CLEANED]
+
+
+def test_tokens(spark, samples):
+    pieces = ["Filing • Reports • CallsApply here", "Duties:Filing"]
+    assert column(spark, pieces, text.segment) == ["Filing\nReports\nCalls\nApply here", "Duties:\nFiling"]
+    assert column(spark, ["A.B.C. Go. Now! Really?! Yes..."], text.sentences) == [["A.B.C.", "Go.", "Now!", "Really?!", "Yes..."]]
+    assert column(spark, ["co-operate don't 3.14 a,b,c 1,000,000 end."], text.words) == [["co-operate", "don't", "3.14", "a,b,c", "1,000,000", "end"]]
+    segments = column(spark, samples, text.segment)
+    assert column(spark, samples, text.words) == [scanned_words(s) for s in segments]
+    inner = lambda s: [c for c in s if c not in vocab.WS_CHARS]  # sentences lose blanks only
+    assert [inner("".join(x)) for x in column(spark, samples, text.sentences)] == [inner(s) for s in segments]
 
 
 def test_normalize_key_and_hash(spark, samples):
