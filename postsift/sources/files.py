@@ -2,10 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from postsift import vocab
-
-POSTING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in vocab.UNIFIED_COLUMNS])
-
 
 def string_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
@@ -33,10 +29,16 @@ def read_postings(spark: SparkSession, path: str, columns=None, fmt: str = "parq
 
 
 def with_load_order(df: DataFrame, source_rank: int) -> DataFrame:
-    """Rank of the file and position in it, the order that "first" refers to."""
+    """Rank of the source and place in it, the order that "first" refers to.
+
+    The place is the file's path, the part's offset in the file, and the row within the part,
+    so it does not follow from how files were packed into tasks. ``df`` comes from files and
+    has not been shuffled since.
+    """
+    file = F.col("_metadata")
     return df.withColumns({
         "source_rank": F.lit(source_rank),
-        "ordinal": F.monotonically_increasing_id(),
+        "ordinal": F.struct(file["file_path"].alias("file"), file["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("row")),
     })
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postsift import vocab
 from postsift.operators import dedupe, evaluate, forest, hotkeys, labels, ranking, shap, split, stats
 from postsift.plans import scoring
-from postsift.sources import conform, files, sinks, sitemaps
+from postsift.sources import conform, corpus, files, sinks, sitemaps
 from postsift.streaming import scoring as streaming
 
 
@@ -21,6 +21,21 @@ def test_csv_with_mark_breaks_and_quotes(spark, folder):
     assert [tuple(r) for r in rows] == [("a", "1", 'two\nlines "quoted"'), ("b", "", "")]
 
 
+def test_load_order_follows_files_not_tasks(spark, folder):
+    """A small first file and a large second one, which Spark reads first, through cleaning and the base corpus."""
+    for name, n in (("1", 2), ("2", 400)):
+        lines = "".join(f"{name}-{i},Clerk {i}\n" for i in range(n))
+        Path(folder, f"{name}.csv").write_text("source_id,title\n" + lines)
+        rows = "".join(f"{int(name) * 1000 + i},Ünit {i}\n" for i in range(n))
+        Path(folder, f"base-{name}.csv").write_text("job_id,description\n" + rows, encoding="utf-8")
+    df = files.with_load_order(files.read_postings(spark, [f"{folder}/2.csv", f"{folder}/1.csv"], fmt="csv"), 1)
+    assert [r["source_id"] for r in df.orderBy("source_rank", "ordinal").collect()] == [f"1-{i}" for i in range(2)] + [f"2-{i}" for i in range(400)]
+    raw = spark.read.csv([f"{folder}/base-2.csv", f"{folder}/base-1.csv"], header=True, multiLine=True, schema="job_id long, description string")
+    raw = raw.select("*", *[F.lit("").alias(c) for c in corpus.CORPUS_SCHEMA.names if c not in raw.columns])
+    base = files.with_load_order(corpus.standardize_base(raw), 0).orderBy("ordinal")
+    assert [r["source_id"] for r in base.collect()] == [str(1000 + i) for i in range(2)] + [str(2000 + i) for i in range(400)]
+
+
 def test_annotations_are_not_replaced(spark, folder):
     df = spark.range(3)
     files.write_annotations(df, f"{folder}/x")
