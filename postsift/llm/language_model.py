@@ -1,92 +1,152 @@
 """Stupid-backoff scores from n-gram count tables that are partitioned by hash.
 
-Words are runs of letters in lower case. The corpus gives a table of word counts and a table of
-word-pair counts, both over all texts. A pair seen at least LEAST_SEEN times has the score
-count(pair) / count(first word); any other backs off to BACKOFF * count(word) / count(all words).
-The vocabulary is all words down to the count at which at most VOCABULARY words are as frequent;
-rarer ones are one unknown word, as in any closed-vocabulary model, so a pair is one exact whole
-number, not a hash.
-
-Pairs of a text are exploded once, by bucket of the pair, and each bucket counts its pairs and
-scores its texts' pairs against those counts. Pairs of two of the HOT most frequent words, the
-only ones that can be frequent, are counted before any shuffle and scored where the text is, so
-no bucket holds more than its share and a word pair in a third of all texts costs nothing extra.
-Pairs travel, and scores come back, in one row per bucket and chunk of texts.
+Words are runs of letters in lower case. Words and pairs of neighbours are counted over all texts,
+every one of them. A pair seen at least LEAST_SEEN times has the score count(pair) / count(first
+word); any other backs off to BACKOFF * count(word) / count(all words).
+
+An n-gram's key is 64 bits of its hash, and its bucket is taken from 64 more bits; the number of
+buckets follows the words. Texts travel in chunks: a chunk holds its texts as numbers of its own
+distinct words. It sends each of its distinct words and pairs once, with the count in the chunk,
+to the bucket, which adds up the counts of each key and answers every chunk in the order in which
+the chunk asked. So a pair in a third of all texts costs one entry a chunk, like any other pair,
+and a bucket holds about the same share of every chunk. The answers are laid back over the texts.
 """
 
 import re
-from collections import Counter
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from postsift.operators.lineage import cut_lineage
 
 WORD = re.compile(r"[^\W\d_]+")
-VOCABULARY = 1 << 17  # words with a number at most, and one number for the unknown word
-HOT = 512  # words whose pairs are counted before the shuffle: 512 x 512 at most
+HOT = 512  # not read any more (no word is treated apart); a test sets it
 LEAST_SEEN, BACKOFF = 2, 0.4
-BUCKET_PAIRS, LEAST_BUCKETS = 4_000_000, 64
-CHUNK = 512  # texts whose pairs travel in one row per bucket, and whose scores come back so
-STEPS = 64  # of a doubling of the count, for the vocabulary's limit
-SHIFT = 20  # bits of a word's number in a pair's
+BUCKET_WORDS, LEAST_BUCKETS = 4_000_000, 64
+CHUNK_WORDS, CHUNK_TEXTS = 1 << 20, 1 << 15  # a chunk is full at either
 
 
 def text_words(text):
     return WORD.findall(text.lower()) if text else []
 
 
-def word_counts(docs: DataFrame, text="text") -> DataFrame:
-    """word, n over all texts; batches are added up before the shuffle."""
-    def run(batches):
-        count = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                count.update(text_words(t))
-            if len(count) > 500_000:
-                yield _counts(count)
-                count = Counter()
-        yield _counts(count)
+def _chunks(docs, key, text):
+    """chunk, n_words, docs (keys), lengths (words of each text), ids (numbers of the words, packed), hashes (128 bits of each distinct word)."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
-    return docs.select(F.col(text).alias("_text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches):
+        from pyspark import TaskContext
 
+        chunk, key_type = TaskContext.get().partitionId() << 40, None
 
-def _counts(count):
-    return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+        def start():
+            return defaultdict(count().__next__), [], [], [], 0
 
+        def row():
+            flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+            columns = [[chunk], [total], [keys], [lengths], [pa.compress(flat.tobytes(), "zstd", asbytes=True)],
+                       [b"".join(xxhash.xxh3_128_digest(w.encode()) for w in number)]]
+            types = [pa.int64(), pa.int64(), pa.list_(key_type), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "n_words", "docs", "lengths", "ids", "hashes"])
 
-class Model:
-    """Numbers of the vocabulary and counts by number; sent to tasks once."""
+        number, keys, lengths, ids, total = start()
+        for b in batches:
+            key_type = b.column(0).type
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = text_words(t)
+                keys.append(doc)
+                lengths.append(len(words))
+                ids.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                total += len(words)
+                if total >= CHUNK_WORDS or len(keys) >= CHUNK_TEXTS:
+                    yield row()
+                    number, keys, lengths, ids, total = start()
+                    chunk += 1
+        if keys:
+            yield row()
+
+    return rows.mapInArrow(run, f"chunk long, n_words long, docs array<{kind}>, lengths array<int>, ids binary, hashes binary")
+
+
+def _mixed(left, right):
+    """64 bits of a pair from 64 bits of each of its words; the order counts."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ right >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+class Ngrams:
+    """Distinct words and pairs of a chunk, and where its texts have them."""
+
+    def __init__(self, lengths, ids, hashes):
+        self.lengths = np.asarray(lengths, np.int64)
+        total = int(self.lengths.sum())
+        packed = pa.decompress(ids, decompressed_size=4 * total, codec="zstd", asbytes=True) if total else b""
+        self.ids = np.frombuffer(packed, np.uint32).astype(np.int64)
+        self.text = np.repeat(np.arange(len(self.lengths)), self.lengths)  # of each word
+        self.words = len(hashes) // 16
+        inside = np.flatnonzero(self.text[1:] == self.text[:-1])
+        self.pair_text = self.text[inside]
+        distinct, self.pair_at, self.pair_n = np.unique(self.ids[inside] * max(self.words, 1) + self.ids[inside + 1], return_inverse=True, return_counts=True)
+        self.left, self.right = np.divmod(distinct, max(self.words, 1))
+        self.hashes = np.frombuffer(hashes, np.uint64).reshape(-1, 2)
+
+    def by_bucket(self, buckets):
+        """Order of the n-grams (words, then pairs) by bucket, their keys and counts in it, and the buckets with their first places."""
+        halves = [np.concatenate((h, _mixed(h[self.left], h[self.right]))) for h in self.hashes.T]
+        at = (halves[1] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        n = np.concatenate((np.bincount(self.ids, minlength=self.words), self.pair_n))
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        return order, halves[0][order].view(np.int64), n[order], at[order][starts], starts
+
+    def scores(self, n, all_words):
+        """Per text: words, pairs in the table, sum of log10 scores; n: counts over all texts, words first."""
+        words, pairs = n[:self.words].astype(np.float64), n[self.words:]
+        seen = pairs >= LEAST_SEEN
+        alone = np.log10(np.maximum(words, 1) / max(all_words, 1))
+        score = np.where(seen, np.log10(np.maximum(pairs, 1) / np.maximum(words[self.left], 1)), alone[self.right] + np.log10(BACKOFF))
+        texts = len(self.lengths)
+        sums = np.bincount(self.pair_text, score[self.pair_at], texts).astype(np.float64)  # whole numbers if there is no pair
+        some = np.flatnonzero(self.lengths)
+        sums[some] += alone[self.ids[(np.cumsum(self.lengths) - self.lengths)[some]]]
+        return self.lengths, np.bincount(self.pair_text, seen[self.pair_at], texts).astype(np.int64), sums
+
+
+def _ngrams(row):
+    return Ngrams(row["lengths"], row["ids"], row["hashes"])
+
+
+def _asked(chunks: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket, keys, n: a chunk's distinct n-grams in one row per bucket, each key once."""
+    def run(batches):
+        for b in batches:
+            for row in b.select(["chunk", "lengths", "ids", "hashes"]).to_pylist():
+                _, keys, n, at, starts = _ngrams(row).by_bucket(buckets)
+                edges = pa.array([*starts, len(keys)], pa.int32())
+                columns = [pa.array(np.full(len(at), row["chunk"])), pa.array(at), pa.ListArray.from_arrays(edges, pa.array(keys)), pa.ListArray.from_arrays(edges, pa.array(n))]
+                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "keys", "n"])
 
-    def __init__(self, words, counts, all_words, hot):
-        self.hot = hot
-        self.number = {w: k for k, w in enumerate(words)}
-        self.unknown = len(words)
-        self.counts = np.array([*counts, max(all_words - sum(counts), 1)], np.float64)
-        self.all_words = all_words
+    return chunks.select("chunk", "lengths", "ids", "hashes").mapInArrow(run, "chunk long, bucket long, keys array<long>, n array<long>")
 
-    def pairs(self, text):
-        """Numbers of a text's words, and of its pairs of neighbours."""
-        get, unknown = self.number.get, self.unknown
-        w = np.array([get(x, unknown) for x in text_words(text)], np.int64)
-        return w, w[:-1] << SHIFT | w[1:]
 
-    def is_hot(self, pairs):
-        return (pairs >> SHIFT < self.hot) & (pairs & (1 << SHIFT) - 1 < self.hot)
+def _flat(column):
+    return pc.list_flatten(column.combine_chunks()).to_numpy(zero_copy_only=False)
 
-    def alone(self, words, backed_off):
-        score = np.log10(self.counts[words] / max(self.all_words, 1))
-        return score + np.log10(BACKOFF) if backed_off else score
 
-    def scores(self, pairs, counts):
-        """log10 of the score of each pair, and whether it was seen often enough."""
-        seen = counts >= LEAST_SEEN
-        left, right = pairs >> SHIFT, pairs & (1 << SHIFT) - 1
-        score = np.where(seen, np.log10(np.maximum(counts, 1) / self.counts[left]), self.alone(right, True))
-        return score, seen
+def _answered(asked: pa.Table) -> pa.Table:
+    """The bucket's part of the count table, joined to what the chunks asked: n over all texts."""
+    _, back = np.unique(_flat(asked["keys"]), return_inverse=True)
+    n = np.bincount(back, _flat(asked["n"])).astype(np.int64)[back]  # exact below 2^53
+    edges = np.concatenate(([0], np.cumsum(pc.list_value_length(asked["keys"]).to_numpy())))
+    return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"], "n": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(n))})
 
 
 def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
@@ -96,97 +156,21 @@ def score_texts(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     all words); null and empty texts have 0 words, score 0 and a null mean. Rows with null or
     repeated keys are scored one by one.
     """
-    spark = docs.sparkSession
-    counted = cut_lineage(word_counts(docs, text))
-    all_words = counted.agg(F.sum("n")).first()[0] or 0
-    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS).cast("int")
-    steps = {r.step: r.words for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()}  # 64 x STEPS at most
-    least, size = 1 << 30, 0
-    for at in sorted(steps, reverse=True):
-        size += steps[at]
-        if size > VOCABULARY:
-            break
-        least = at
-    frequent = counted.filter(step >= least).toArrow()  # at most VOCABULARY words
-    top = sorted(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()), key=lambda r: (-r[1], r[0]))
-    model = spark.sparkContext.broadcast(Model([w for w, _ in top], [n for _, n in top], all_words, HOT))
-    hot = spark.sparkContext.broadcast(_hot_counts(docs, text, model))
-    buckets = max(LEAST_BUCKETS, -(-all_words // BUCKET_PAIRS))
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def explode(batches):
-        from pyspark import TaskContext
-
-        m, (hot_pairs, hot_n) = model.value, hot.value
-        chunk = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for b in (whole.slice(k, CHUNK) for k in range(0, whole.num_rows, CHUNK)):
-                own, cold, places = [], [], []
-                for place, (doc, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                    words, pairs = m.pairs(t)
-                    here = m.is_hot(pairs)
-                    score, seen = m.scores(pairs[here], hot_n[np.searchsorted(hot_pairs, pairs[here])])
-                    own.append((place, doc, len(words), int(seen.sum()), float(m.alone(words[:1], False).sum() + score.sum())))
-                    cold.append(pairs[~here])
-                    places.append(np.full(len(cold[-1]), place, np.int16))
-                places_, docs_, words_, seen_, score_ = zip(*own)
-                n = len(own)
-                yield batch([chunk] * n, [-1] * n, places_, docs_, words_, seen_, score_, [None] * n, [None] * n, b.column(0).type)
-                pairs, at_place = np.concatenate(cold), np.concatenate(places)
-                at = (pairs * np.int64(-7046029254386353131) >> np.int64(33)) % buckets
-                order = np.argsort(at, kind="stable")
-                edges = np.flatnonzero(np.diff(at[order], prepend=-1))
-                parts = [order[s:e] for s, e in zip(edges, [*edges[1:], len(order)])]
-                n = len(parts)
-                yield batch([chunk] * n, [int(at[p[0]]) for p in parts], [None] * n, [None] * n, [None] * n, [None] * n, [None] * n,
-                            [pairs[p] for p in parts], [at_place[p] for p in parts], b.column(0).type)
-                chunk += 1
-
-    def batch(*columns):
-        *columns, key_type = columns
-        types = [pa.int64(), pa.int32(), pa.int16(), key_type, pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int16())]
-        names = ["chunk", "bucket", "place", "doc_id", "n_words", "n_seen", "score", "pairs", "places"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    def bucket_scores(group: pd.DataFrame) -> pd.DataFrame:
-        m = model.value
-        pairs, places = np.concatenate(group.pairs.to_numpy()), np.concatenate(group.places.to_numpy())
-        _, back, n = np.unique(pairs, return_inverse=True, return_counts=True)
-        score, seen = m.scores(pairs, n[back])
-        text = np.repeat(np.arange(len(group)), group.pairs.map(len)) * CHUNK + places  # a text's pairs stand together
-        edges = np.flatnonzero(np.diff(text, prepend=-1))
-        cuts = np.searchsorted(text[edges], np.arange(1, len(group)) * CHUNK)
-        split = lambda values: np.split(values, cuts)
-        return pd.DataFrame({"chunk": group.chunk, "places": split(places[edges].astype(np.int16)),
-                             "seen": split(np.add.reduceat(seen.astype(np.int64), edges)), "scores": split(np.add.reduceat(score, edges))})
-
-    def add_up(own: pa.Table, cold: pa.Table) -> pa.Table:
-        place, seen, score = (own[c].to_numpy() for c in ("place", "n_seen", "score"))
-        at, more_seen, more_score = (pc.list_flatten(cold[c]).to_numpy() for c in ("places", "seen", "scores"))
-        seen = seen + np.bincount(at, more_seen, CHUNK).astype(np.int64)[place]
-        return pa.table({"doc_id": own["doc_id"], "n_words": own["n_words"], "n_seen": seen, "log_score": score + np.bincount(at, more_score, CHUNK)[place]})
-
-    exploded = cut_lineage(rows.mapInArrow(explode, f"chunk long, bucket int, place short, doc_id {kind}, n_words long, n_seen long, score double, pairs array<long>, places array<short>"))
-    cold = exploded.filter("bucket >= 0").select("chunk", "bucket", "pairs", "places").groupBy("bucket").applyInPandas(
-        bucket_scores, "chunk long, places array<short>, seen array<long>, scores array<double>")
-    own = exploded.filter("bucket < 0").select("chunk", "place", "doc_id", "n_words", "n_seen", "score")
-    summed = own.groupBy("chunk").cogroup(cold.groupBy("chunk")).applyInArrow(add_up, f"doc_id {kind}, n_words long, n_seen long, log_score double")
+    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
+    chunks = cut_lineage(_chunks(docs, key, text))
+    all_words = chunks.agg(F.sum("n_words")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, -(-all_words // BUCKET_WORDS))
+
+    def add_up(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        chunk = _ngrams(row)
+        order = chunk.by_bucket(buckets)[0]
+        n = np.empty(len(order), np.int64)
+        n[order] = _flat(answers.sort_by("bucket")["n"])
+        n_words, n_seen, score = chunk.scores(n, all_words)
+        keys = pc.list_flatten(own["docs"].combine_chunks())
+        return pa.table({"doc_id": keys, "n_words": n_words, "n_seen": n_seen, "log_score": score})
+
+    answers = _asked(chunks, buckets).groupBy("bucket").applyInArrow(_answered, "chunk long, bucket long, n array<long>")
+    summed = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add_up, f"doc_id {kind}, n_words long, n_seen long, log_score double")
     return summed.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
-
-
-def _hot_counts(docs, text, model):
-    """Pairs of hot words and their counts over all texts, sorted by pair; HOT * HOT at most."""
-    def run(batches):
-        m = model.value
-        table = np.zeros(m.hot * m.hot, np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                _, pairs = m.pairs(t)
-                pairs = pairs[m.is_hot(pairs)]
-                np.add.at(table, (pairs >> SHIFT) * m.hot + (pairs & (1 << SHIFT) - 1), 1)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array((at // m.hot << SHIFT) | at % m.hot), pa.array(table[at])], names=["pair", "n"])
-
-    rows = docs.select(F.col(text).alias("_text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).orderBy("pair").collect()
-    return np.array([r.pair for r in rows], np.int64), np.array([r.n for r in rows], np.int64)

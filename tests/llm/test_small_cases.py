@@ -8,6 +8,7 @@ import corpus_pipeline
 from postsift.llm import (language_model, packing, pieces, prefix_counts, quality_rules, sharding, simhash, topk, toxicity,
                           url_filter)
 from postsift.llm.catalog import PIECE_BPE, WORD_BPE, vocabulary
+from tests.llm.test_queries import brute_lm
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -124,3 +125,21 @@ def test_pipeline_of_an_empty_table(spark, folder):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def _letters(k):
+    return "".join(chr(97 + k // 26**d % 26) for d in range(5))
+
+
+def test_language_model_counts_every_word(spark):
+    """Over 2^17 distinct words: junk of words seen once, and a passage of such words in a third of the texts."""
+    junk = {k: " ".join(_letters(k * 1000 + j) for j in range(1000)) for k in range(160)}
+    passage = " ".join(_letters(10**6 + j) for j in range(300))
+    texts = junk | {200 + k: passage if k % 3 == 0 else f"the cat sat on the {_letters(2 * 10**6 + k)}" for k in range(90)}
+    want = brute_lm(texts)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = language_model.score_texts(table).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_seen) == want[r.doc_id][:2]
+        assert r.log_score == pytest.approx(want[r.doc_id][2], abs=1e-6)
