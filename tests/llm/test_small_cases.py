@@ -131,6 +131,24 @@ def _letters(k):
     return "".join(chr(97 + k // 26**d % 26) for d in range(5))
 
 
+def test_chunks_ask_once_for_a_word_pair(spark):
+    """A passage of rare words in a third of the texts, and a pair of rare words repeated in one, are one entry a chunk."""
+    passage = " ".join(_letters(10**6 + j) for j in range(300))
+    filler = lambda k: " ".join(_letters(k * 300 + j) for j in range(300))
+    texts = [(k, passage if k % 3 == 0 else "foo bar " * 200 if k == 1 else filler(k)) for k in range(90)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    chunks = language_model.cut_lineage(language_model._chunks(docs, "doc_id", "text"))
+    assert chunks.count() == 2
+    asked, held = {}, {}
+    for r in language_model._asked(chunks, 8).collect():
+        keys = np.cumsum(language_model._unpacked(r.keys, np.uint64), dtype=np.uint64)
+        assert len(set(keys.tolist())) == len(keys) > 0
+        asked[r.chunk] = asked.get(r.chunk, 0) + int(language_model._unpacked(r.n, np.int64).sum())
+        held[r.bucket] = held.get(r.bucket, 0) + len(keys)
+    assert sum(asked.values()) == sum(2 * len(t.split()) - 1 for _, t in texts)
+    assert len(held) == 8 and max(held.values()) < 1.2 * min(held.values())
+
+
 def test_language_model_counts_every_word(spark):
     """Over 2^17 distinct words: junk of words seen once, and a passage of such words in a third of the texts."""
     junk = {k: " ".join(_letters(k * 1000 + j) for j in range(1000)) for k in range(160)}
