@@ -14,11 +14,30 @@ DROPPED_ELEMENTS = (*text.DROPPED_ELEMENTS, "svg")
 
 
 def element(html, name: str, attribute: str = "") -> Column:
-    """Inner HTML of the first such element, or of its open rest; null if none."""
+    """Inner HTML of the first such element, or of its open rest; null if none.
+
+    The html past the opening tag is cut before each tag of that name; the element ends where the
+    depth returns to zero, so elements of the same name inside it are part of it.
+    """
     opening = rf"(?i)<{name}\b[^<>]*{attribute}[^<>]*+>" if attribute else rf"(?i)<{name}\b[^<>]*+>"
-    inside = rf"((?:[^<]++|<(?!/{name}\s*>))*+)"
+    inner, closing = rf"<{name}(?=[\s/>])[^<>]*+>", rf"</{name}\s*>"
     html = _col(html)
-    return F.when(html.rlike(opening), F.regexp_extract(html, opening + inside, 1))
+
+    def step(piece):
+        return F.when(piece.rlike("(?i)^" + closing), -1).when(piece.rlike("(?i)^" + inner), 1).otherwise(0)
+
+    def walk(at, piece):
+        depth = at["depth"] + step(piece)
+        past = F.struct(depth.alias("depth"), (at["pieces"] + (depth > 0).cast("int")).alias("pieces"))
+        return F.when(at["depth"] > 0, past).otherwise(at)
+
+    def content(pieces):
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("pieces"))
+        return F.array_join(F.slice(pieces, F.lit(1), F.aggregate(pieces, start, walk, lambda at: at["pieces"])), "")
+
+    rest = F.regexp_extract(html, opening + r"(?s:(.*+))", 1)
+    pieces = F.split(rest, f"(?i)(?={inner}|{closing})")
+    return F.when(html.rlike(opening), F.get(F.transform(F.array(pieces), content), 0))
 
 
 def job_container(html) -> Column:

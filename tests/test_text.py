@@ -228,6 +228,23 @@ def test_board_b_layouts(spark):
     assert not no_body["is_job_page"] and no_tags["function"] == "" and no_tags["required_experience"] == ""
 
 
+def test_board_b_page_with_nested_sections(spark):
+    from postsift.sources.pages import board_b_postings
+
+    page = ('<body><main><section class="job-content"><h1>Clerk</h1><section class="facts"><SECTION id=x><p>Posted: 15 May 2025</p></Section ></section>'
+            "<section-tabs></section-tabs><div>Location</div><div>Nairobi</div><section><div>About the job</div><div>Description</div><p>Line one</p></section><p>Line two</p>"
+            "<div>Tags</div><div>Accounting</div></section><section><p>After</p></section></main></body>")
+    in_main = '<main><p>a</p><main>b</main><p>c</p></main><p>d</p>'
+    rows = spark.createDataFrame([("http://h/1", page), ("http://h/2", in_main), ("http://h/3", "<main><p>a<main>b</main>c")], "url string, html string")
+    one, two, three = [r.box for r in rows.select("url", board_b.job_container("html").alias("box")).orderBy("url").collect()]
+    assert one.startswith("<h1>Clerk") and one.endswith("<div>Accounting</div>")
+    assert two == "<p>a</p><main>b</main><p>c</p>" and three == "<p>a<main>b</main>c"
+    found = board_b.board_b_fields(rows.limit(1)).first()
+    assert (found.description, found.function, found.location, found.is_job_page) == ("Line one Line two", "Accounting", "Nairobi", True)
+    assert board_b_postings(rows).count() == 1
+    assert [r.e for r in spark.createDataFrame([("<p>x",), ("<h1></h1>",), ("<h1>a",)], "t string").select(board_b.element("t", "h1").alias("e")).collect()] == [None, "", "a"]
+
+
 def test_markup_is_read_once_and_references_whole(spark):
     import time
 
