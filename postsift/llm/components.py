@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from postsift.llm.hot import join_hot
 from postsift.operators.lineage import cut_lineage
 
 
@@ -9,18 +10,19 @@ def _both_ways(links):
     return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(links):
+def _large_star(links, total):
     """Each node's larger neighbours point to the smallest of the node and its neighbours."""
     near = _both_ways(links)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return near.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+    met = join_hot(near.filter("b > a"), least, "a", "n", 2 * total)
+    return met.select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(links):
+def _small_star(links, total):
     """Each node and its smaller neighbours point to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+    moved = join_hot(down, least, "a", "n", total).filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(least.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
 
@@ -28,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     """Columns node and root (smallest node of the component) for all nodes of links (a, b).
 
     Rounds grow with the logarithm of the component size; each is stored in the shared folder,
-    so a lost executor costs one round. Stops when a round leaves the set of links as it was.
+    so a lost executor costs one round. A hub of a large component is met where its links are, by
+    broadcast, and not in one task. Stops when a round leaves the set of links as it was.
     """
     # Order-free signature of a set of links; a round that changes nothing is the last.
     def signature(table):
@@ -37,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
     stars = cut_lineage(links.select("a", "b").filter("a <> b").distinct())
     before = signature(stars)
     while before[0]:
-        stars = cut_lineage(_small_star(_large_star(stars)))
+        large = cut_lineage(_large_star(stars, before[0]))
+        stars = cut_lineage(_small_star(large, large.count()))
         now = signature(stars)
         if now == before:
             break
