@@ -2,8 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postsift.llm import (language_model, packing, pieces, prefix_counts, quality_rules, sharding, simhash, topk, toxicity,
-                          url_filter)
+from postsift.llm import (filter_audit, language_model, packing, periodic_runs, pieces, prefix_counts, quality_rules, sharding,
+                          simhash, superminhash, topk, toxicity, url_filter)
 from postsift.llm.sql import ORACLES  # noqa: F401
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -60,6 +60,19 @@ def op10_packing(spark, folder):
     return packing.pack(_table(spark, folder, "documents"), vocabulary(WORD_BPE)).drop("ids")
 
 
+def op11_periodic_runs(spark, folder):
+    docs = periodic_runs.with_planted_loops(_table(spark, folder, "documents"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(docs))
+
+
+def op12_superminhash(spark, folder):
+    return superminhash.near_groups(_table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark, folder):
+    return filter_audit.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -68,4 +81,4 @@ def pipeline(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filter, op3_sentencepiece, op4_toxicity, op5_token_counts, op6_topk_search, op7_lm_scores,
-    op8_simhash, op9_sharding, op10_packing, pipeline)}
+    op8_simhash, op9_sharding, op10_packing, op11_periodic_runs, op12_superminhash, op13_filter_audit, pipeline)}

@@ -60,4 +60,42 @@ s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigin
 select query_id, rank, vec_id, score from (
   select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s) where rank <= 10"""
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_url_filter": _urls(), "op6_topk_search": TOP_K}
+# Links by counting shared shingles, then the smallest id that links reach.
+NEAR = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as words from documents),
+s as (select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 3 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) end) as shingles from w),
+n as (select doc_id, len(shingles)::bigint as n_shingles from s),
+x as (select doc_id, unnest(shingles) as shingle from s),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from x a join x b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from shared join n na on a = na.doc_id join n nb on b = nb.doc_id
+  where 100 * both_have >= 85 * (na.n_shingles + nb.n_shingles - both_have)),
+reach as (select doc_id, doc_id as other from n union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+c as (select doc_id, min(other) as component_id from reach group by 1)
+select doc_id, n_shingles, component_id, doc_id = component_id as kept from n join c using (doc_id)"""
+
+AUDIT = r"""
+with recursive d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by t) as first_id from d),
+f as (select doc_id, part, map {'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words),
+  'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': first_id < doc_id} as fails from w),
+g as (select f.*, exists (select 1 from labels l where l.doc_id = f.doc_id and quality = 1) as good,
+  exists (select 1 from labels l where l.doc_id = f.doc_id and toxic = 1) as toxic from f),
+p as (select '' as filter_order union all
+  select filter_order || letter from p, (select unnest(['A', 'B', 'C', 'D', 'E']) as letter) where not contains(filter_order, letter)),
+steps as (select filter_order, step::integer as step, filter_order[step] as letter, filter_order[:step - 1] as prior
+  from p, range(1, 6) r(step) where length(filter_order) = 5),
+counts as (select part, fails, good, toxic, count(*) as n, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x]) as failed from g group by all),
+m as (select part, filter_order, step, letter, n, good, toxic, fails[letter] as hit, failed,
+  len(list_filter(failed, lambda x: contains(prior, x))) > 0 as gone from counts, steps),
+rows_ as (select part, filter_order, step, any_value(letter) as letter, coalesce(sum(n) filter (not hit and not gone), 0)::bigint as kept,
+  coalesce(sum(n) filter (hit and not gone), 0)::bigint as removed, coalesce(sum(n) filter (hit and gone), 0)::bigint as redundant,
+  coalesce(sum(n) filter (hit and len(failed) = 1), 0)::bigint as unique_fails,
+  coalesce(sum(n) filter (hit and not gone and good), 0)::bigint as good_lost,
+  coalesce(sum(n) filter (hit and not gone and toxic), 0)::bigint as toxic_lost from m group by 1, 2, 3)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) over (partition by part, letter)::bigint as shapley from rows_"""
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_url_filter": _urls(), "op6_topk_search": TOP_K,
+           "op12_superminhash": NEAR, "op13_filter_audit": AUDIT}
