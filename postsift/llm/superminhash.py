@@ -8,8 +8,9 @@ the text is done, after two or three rounds for most texts.
 
 Texts whose bands of ROWS places agree somewhere meet. Two sets at the least similarity of 0.85
 miss each other with a chance of (1 - 0.85^6)^32, 3 in 10 million. A crowd in a band is not paired:
-1. Each text is checked against the smallest of its crowd, on full shingle sets.
-2. Where a crowd still falls into several groups, texts outside the crowd's largest group are
+1. Each text is checked against the smallest text that any of its crowds has, on full shingle sets.
+2. Then against the smallest of each crowd that is still in another group.
+3. Where a crowd still falls into several groups, texts outside the crowd's largest group are
    compared by signatures with all of it, block by block, and pairs of different groups whose
    signatures agree in FLOOR of the places (0.85 less five deviations) are checked on full sets.
 Pairs within one group need no check: it is connected already.
@@ -35,7 +36,7 @@ SLOTS, ROWS = 192, 6
 FLOOR = 0.72
 SEED = 42
 BLOCK = 1024  # signatures of one side of a block of a crowd
-CHUNK = 1024  # texts that are checked against one copy of the other text
+CHUNK = 128  # texts that are checked against one copy of the other text
 FEW = 200_000  # names of texts that may be broadcast, about 100 bytes each
 SLICE_CHARS, PART = 1 << 21, 1 << 15  # characters read together; shingles ranked together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -237,16 +238,27 @@ def _close_pairs(floor):
     return run
 
 
-def _left_over(entries, nodes, rooted):
+def _placed(entries, rooted):
+    """The entries with the smallest node of each one's group so far."""
+    found = rooted.withColumnRenamed("node", "_node")
+    return entries.join(found, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+
+
+def _apart(placed):
+    """Pairs of a crowd's smallest text with each other one that is still in another group."""
+    heads = cut_lineage(placed.filter("node = hub").select("band", "n", F.col("root").alias("hub_root")))
+    met = join_hot(placed.drop("n"), heads, "band", "n", placed.count())
+    return met.filter("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _left_over(placed, nodes):
     """Pairs to check in crowds that still fall into several groups; see the head of the module."""
-    placed = cut_lineage(entries.join(rooted.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-                         .select("band", "node", F.coalesce("root", "node").alias("root")))
     groups = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     # the largest group, ties to the smallest root, in one number each: fixed-width aggregation
     most = groups.groupBy("band").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     most = most.filter("all > 2")  # the one pair of two texts was checked
     main = groups.join(most, "band").filter("n = top").groupBy("band").agg(F.min("root").alias("main"), F.first("all").alias("all"))
-    crowd = join_hot(placed, main, "band", "all", placed.count()).join(nodes.select("node", "marks"), "node")
+    crowd = join_hot(placed, cut_lineage(main), "band", "all", placed.count()).join(nodes.select("node", "marks"), "node")
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
     part = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
@@ -274,17 +286,17 @@ def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, perce
     shared = nodes.select("node", F.posexplode("bands").alias("k", "hash")).select(F.xxhash64("k", "hash").alias("band"), "node")
     crowds = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
     entries = cut_lineage(join_hot(shared, cut_lineage(crowds), "band", "n", shared.count()))
-    stars = cut_lineage(entries.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    named = cut_lineage(nodes.select("copy", "node").join(entries.select("node").distinct(), "node"))
+    bodies = cut_lineage(_texts_of(rows, named))
 
     def check(pairs):
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        named = cut_lineage(nodes.select("copy", "node").join(wanted, "node"))
-        return confirmed(pairs, _texts_of(rows, named), width, percent)
-
-    sure = cut_lineage(_joined(check(stars)))
-    rooted = components(sure)
-    open_pairs = cut_lineage(_left_over(entries, nodes, rooted).join(stars, ["a", "b"], "left_anti"))
-    links = sure.unionByName(_joined(check(open_pairs)))
+        return cut_lineage(_joined(confirmed(cut_lineage(pairs), bodies, width, percent)))
+
+    stars = entries.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = check(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = links.unionByName(check(_apart(cut_lineage(_placed(entries, components(links))))))
+    left_over = _left_over(cut_lineage(_placed(entries, components(links))), nodes)
+    links = links.unionByName(check(left_over.join(stars.distinct(), ["a", "b"], "left_anti")))
     rooted = cut_lineage(components(links))
     tops = nodes.join(rooted, "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = join_hot(rooted, tops, "root", "n", rooted.count()).select("node", "component_id")
