@@ -1,4 +1,4 @@
-"""Inner joins on numbers of which a few may stand on a large share of all rows."""
+"""Joins on keys of which a few may stand on a large share of all rows, and on keys that must be unique."""
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,3 +17,10 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int)
     cold = right.filter(~is_hot)
     rest = left.join(F.broadcast(right.filter(is_hot).select(key)), key, "left_anti")
     return left.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def require_keys(table: DataFrame, key: str) -> None:
+    """Raises if a key is null or repeated, where a join on it would lose or multiply rows."""
+    odd = table.groupBy(F.col(key).alias("key")).count().filter("key is null or count > 1").first()
+    if odd:
+        raise ValueError(f"{key} {odd['key']} stands for {odd['count']} rows; keys must be unique and not null")

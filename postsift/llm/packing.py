@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from postsift.llm.hot import require_keys
 from postsift.llm.word_bpe import word_bpe
 from postsift.operators.lineage import cut_lineage
 
@@ -96,13 +97,6 @@ class Windows:
         return rows
 
 
-def _frame(rows):
-    df = pd.DataFrame(rows, columns=FIELDS)
-    for c in ("sequence_id", "offset"):
-        df[c] = df[c].astype("Int64")
-    return df
-
-
 def _batch(rows, key_type):
     columns = list(zip(*rows)) if rows else [[]] * len(FIELDS)
     types = [key_type] + [pa.int64()] * 6 + [pa.binary()]
@@ -143,7 +137,7 @@ def pack(docs: DataFrame, path: str, key="doc_id", text="text", length=LENGTH, e
     level = 0
     while True:
         level, parts = level + 1, -(-parts // FAN)
-        merged = cut_lineage(left.withColumn("_part", (F.col("_part") / FAN).cast("int")).groupBy("_part").applyInPandas(
+        merged = cut_lineage(left.withColumn("_part", (F.col("_part") / FAN).cast("int")).groupBy("_part").applyInArrow(
             _merge(length, level << 60, last=parts <= 1), schema + ", _part int"))
         done = done.unionByName(merged.filter("sequence_id is not null").drop("_part"))
         left = merged.filter("sequence_id is null")
@@ -152,20 +146,24 @@ def pack(docs: DataFrame, path: str, key="doc_id", text="text", length=LENGTH, e
 
 
 def _merge(length, first_id, last):
+    """Packs the leftovers of one group; keys stay Arrow values of their own type, nulls included."""
     def run(key, group):
-        part = int(key[0])
+        part, key_type = key[0].as_py(), group.schema.field("doc_id").type
         windows = Windows(first_id + (part << 36), length, OPEN)
-        order = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True])
-        for doc, start, ids, total in zip(order.doc_id, order.start, order.ids, order.doc_tokens):
-            windows.add(None if pd.isna(doc) else doc, int(start), bytes(ids), int(total))
+        pieces = list(zip(*[group.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens", "length")]))
+        pieces.sort(key=lambda p: (-p[4], p[0] is None, 0 if p[0] is None else p[0], p[1]))
+        for doc, start, ids, total, _ in pieces:
+            windows.add(doc, start, ids, total)
         windows.tail() if last else windows.leftovers()
-        return _frame(windows.take()).assign(_part=part)
+        rows = _batch(windows.take(), key_type)
+        return pa.Table.from_batches([rows]).append_column("_part", pa.array([part] * rows.num_rows, pa.int32()))
 
     return run
 
 
 def with_ids(pieces: DataFrame, docs: DataFrame, path: str, key="doc_id", text="text", end_id=END_ID) -> DataFrame:
-    """The pieces with their ids (array of long), for writing; keys must be unique and not null."""
+    """The pieces with their ids (array of long), for writing; keys must be unique and not null, or it raises."""
+    require_keys(docs, key)
     closing = np.array([end_id], "<u4").tobytes()
 
     @F.pandas_udf("array<long>")

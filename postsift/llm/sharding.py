@@ -10,6 +10,7 @@ goes through the group, by document. Only histograms and cuts reach the driver.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from postsift.llm.hot import require_keys
 from postsift.operators.lineage import cut_lineage
 
 SHARDS = 8
@@ -145,6 +146,7 @@ def shard(docs: DataFrame, key="doc_id", text="text", levels=3) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, key="doc_id", text="text") -> None:
-    """The rows of ``docs`` in one folder per shard; keys must be unique and not null."""
+    """The rows of ``docs`` in one folder per shard; keys must be unique and not null, or it raises."""
+    require_keys(docs, key)
     placed = shard(docs, key, text).select(F.col("doc_id").alias(key), "shard", "slot")
     docs.join(placed, key).write.partitionBy("shard").parquet(folder)
