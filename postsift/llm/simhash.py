@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from postsift.llm.components import components
+from postsift.llm.hot import join_hot
 from postsift.operators.lineage import cut_lineage
 
 SEED, MOST_BITS, SHINGLE = 42, 3, 3
@@ -151,12 +152,12 @@ def near_groups(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     fingerprint and are merged before any comparison, so a large group of copies costs one row.
     """
     prints = cut_lineage(fingerprints(docs, key, text))
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    rooted = components(links(distinct)).withColumnRenamed("node", "fp")
-    tops = distinct.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(tops, "root").select("fp", "component_id")
-    final = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(final, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")))
+    rooted = cut_lineage(components(links(distinct)).withColumnRenamed("node", "fp"))
+    tops = distinct.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    linked = join_hot(rooted, tops, "root", "n", rooted.count()).select("fp", "component_id")
+    final = distinct.join(linked, "fp", "left").select("fp", "times", F.coalesce("component_id", "least").alias("component_id"))
+    return join_hot(prints, cut_lineage(final), "fp", "times", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp):
@@ -165,16 +166,15 @@ def hex_digits(fp):
 
 
 def drop_near_copies(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """One row of each group stays: the one whose key is the component's id.
+    """One row of each group stays: that of the smallest key, null keys last.
 
-    Rows with a null key can't be named, so all of them stay; of rows that share the kept key
-    (repeated rows), one stays.
+    Rows are told apart by their key and a 128-bit hash of all columns, so different texts that
+    share a key, or have none, are rows of their own; of rows equal in all columns one stays.
     """
-    numbered = cut_lineage(near_groups(docs, key, text))
-    kept = numbered.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("_times"))
-    kept = kept.filter("doc_id is not null").select(F.col("doc_id").alias("_kept"), "_times")
-    rows = docs.join(kept, docs[key] == kept["_kept"])
-    single = rows.filter(kept["_times"] == 1).select(*[docs[c] for c in docs.columns])
-    many = rows.filter(kept["_times"] > 1).select(*[docs[c] for c in docs.columns]).dropDuplicates([key])
-    keyless = docs.filter(F.col(key).isNull())
-    return single.unionByName(many).unionByName(keyless)
+    every = docs.select("*", F.xxhash64(*docs.columns).alias("_h"), F.xxhash64(F.lit(1), *docs.columns).alias("_g"))
+    row = F.struct(F.col(key).isNull().alias("keyless"), F.col(key).alias("key"), F.col("_h"), F.col("_g"))
+    numbered = cut_lineage(near_groups(every.select(row.alias("_row"), F.col(text).alias("_body")), "_row", "_body"))
+    kept = numbered.filter("doc_id = component_id").groupBy("doc_id._h", "doc_id._g").agg(F.count(F.lit(1)).alias("_times"))
+    rows = every.join(kept, ["_h", "_g"])
+    single = rows.filter("_times = 1").select(*docs.columns)
+    return single.unionByName(rows.filter("_times > 1").dropDuplicates(["_h", "_g"]).select(*docs.columns))

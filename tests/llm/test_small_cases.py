@@ -111,6 +111,47 @@ def test_packing_of_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0), vocabulary(WORD_BPE)).collect() == []
 
 
+def test_packing_keeps_large_and_null_keys(spark):
+    """Keys beyond 2^53 beside a null one among the leftovers of several partitions."""
+    keys = [2**60 + 1, 2**60 + 2, None, 2**60 + 3, None]
+    docs = spark.createDataFrame([(k, f"some words {n}") for n, k in enumerate(keys)], "doc_id long, text string").repartition(5)
+    rows = packing.pack(docs, vocabulary(WORD_BPE)).collect()
+    assert sorted((r.doc_id or 0 for r in rows if r.start == 0)) == sorted(k or 0 for k in keys)
+
+
+def test_writers_refuse_keys_that_lose_rows(spark, folder):
+    for keys in ([1, 1], [1, None]):
+        docs = spark.createDataFrame([(k, f"text {n}") for n, k in enumerate(keys)], "doc_id long, text string")
+        with pytest.raises(ValueError):
+            sharding.write_shards(docs, f"{folder}/shards")
+        with pytest.raises(ValueError):
+            packing.with_ids(packing.pack(docs, vocabulary(WORD_BPE)), docs, vocabulary(WORD_BPE))
+
+
+def test_one_of_near_copies_stays_whatever_the_keys(spark):
+    """Different texts under one key stay, copies without keys are one, a key goes before none."""
+    rows = [(1, "first text of its own here", "x"), (1, "quite another text under that key", "x"), (None, "no key at all here", "a"),
+            (None, "no key at all here", "b"), (None, "shared by a key and none", "a"), (7, "shared by a key and none", "b"),
+            (9, "the very same row", "z"), (9, "the very same row", "z"), (8, "First Text of its own here", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(4)
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_copies(docs).collect())
+    assert kept == sorted([(1, rows[0][1]), (1, rows[1][1]), (0, rows[2][1]), (7, rows[5][1]), (9, rows[6][1])])
+
+
+def test_pieces_of_long_parts_and_of_slices(spark, monkeypatch):
+    import sentencepiece
+
+    path = vocabulary(PIECE_BPE)
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdehionrst"), 60_000)), "ab" * 20_000, None, "", *(" ".join(rng.choice(list("abcd"), 50)) for _ in range(40))]
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 500)
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 40)
+    monkeypatch.setattr(pieces, "REMEMBERED", 2000)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    assert {r.doc_id: r.ids for r in pieces.encode(docs, path).collect()} == {k: lib.encode(t or "") for k, t in enumerate(texts)}
+
+
 def test_topk_without_rows(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
