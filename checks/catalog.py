@@ -156,12 +156,13 @@ S05_CTES = [
 add("s05_standardize_base", lambda i: corpus.standardize_base(i.view("corpus_raw")),
     d.with_views(["corpus_raw"], "select * from base", *S05_CTES))
 
-_HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"'>]*)["']"""
+_HREF = rf"""(?is)<a(?:\s+(?:[^\s/=<>h][^\s/=<>]*|h[^r][^\s/=<>]*)(?:\s*=\s*{d.VALUE})?)*\s+href\s*=\s*["']([^"']*)["']"""
+_SHOWN = d.sub(d.drop_elements("html", ("script", "style")), d.COMMENT, "")
 LINKS = ("links", f"""select distinct url, concat('https://example.org', h) as link from
-  (select url, page_id, unnest(regexp_extract_all(html, {d.q(_HREF)}, 1)) as h from pages) where starts_with(h, '/')""")
+  (select url, page_id, unnest(regexp_extract_all({_SHOWN}, {d.q(_HREF)}, 1)) as h from pages) where starts_with(h, '/')""")
 add("s06_extract_links", lambda i: pages.extract_links(i.table("pages"), "https://example.org", "/", ("page_id", "url")),
     f"""select distinct page_id, url, concat('https://example.org', h) as link from
-  (select url, page_id, unnest(regexp_extract_all(html, {d.q(_HREF)}, 1)) as h from pages) where starts_with(h, '/')""")
+  (select url, page_id, unnest(regexp_extract_all({_SHOWN}, {d.q(_HREF)}, 1)) as h from pages) where starts_with(h, '/')""")
 
 BLOCKS = [
     ("blocks", "select page_id, unnest(regexp_extract_all(xml, '(?s)<url>(.*?)</url>', 1)) as b from sitemaps"),
@@ -287,11 +288,10 @@ _B_DETAIL = ["Location", "Contract Type", "Salary", "About the job"]
 _link_text = d.entities(d.sub("x", _TAGS_AROUND, " "))
 B_CTES = [
     ("p0", f"select doc_id, url, {d.drop_elements('html', _B_DROP)} as page from board_b_pages"),
-    ("p1", r"""select doc_id, url, page, coalesce(nullif(regexp_extract(page, '(?is)<section\b[^>]*class\s*=\s*"[^">]*\bjob-content\b[^>]*>(.*?)</section>', 1), ''),
-  nullif(regexp_extract(page, '(?is)<main[^>]*>(.*?)</main>', 1), ''), regexp_extract(page, '(?is)<body[^>]*>(.*?)</body>', 1)) as box from p0"""),
+    ("p1", f"""select doc_id, url, page, coalesce({d.element('page', 'section', 'job-content')}, {d.element('page', 'main')}, {d.element('page', 'body')}) as box from p0"""),
     ("p2", f"""select *, {_h1('page', ' ')} as title,
   list_filter(list_transform(string_split({d.homoglyphs(d.entities(d.sub('box', d.TAG, chr(10))))}, chr(10)), lambda x: {d.strip('x')}), lambda x: x <> '') as ls,
-  list_filter(list_transform(regexp_extract_all(box, {d.q(r'(?is)<a\b[^>]*\bhref\s*=\s*"[^">]*/company/[^>]*>(.*?)</a\s*>')}, 1), lambda x: rtrim({d.strip(_link_text)}, ', ')), lambda n: n <> '' and n <> 'Company') as names from p1"""),
+  list_filter(list_transform(regexp_extract_all(box, {d.q(r'(?is)<a\b[^>]*\bhref\s*=\s*"[^"]*/company/[^>]*>(.*?)</a\s*>')}, 1), lambda x: rtrim({d.strip(_link_text)}, ', ')), lambda n: n <> '' and n <> 'Company') as names from p1"""),
     ("p3", f"""select *, {_b_between('Tags', ['Start hiring with Fuzu', 'Job search tips from Fuzu'])} as tags,
   {_b_between('Location', _B_DETAIL)} as loc, {_b_between('Contract Type', _B_DETAIL)} as con, {_b_between('Salary', _B_DETAIL)} as sal,
   {_b_between('Description', ['Tags', 'Start hiring with Fuzu'], "greatest(coalesce(list_position(ls, 'About the job'), 0) - 1, 0)")} as des from p2"""),

@@ -34,7 +34,10 @@ def with_views(names, body, *ctes):
 
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
+VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'<>][^\s<>]*)"""
+_ATTRIBUTES = rf"(?:[^=<>]|=\s*{VALUE})*"
+COMMENT = r"<!--(?s:.*?)-->"
+TAG = rf"(?:{COMMENT}|</?[A-Za-z]{_ATTRIBUTES}>|<[!?/][^>]*>)"
 
 
 def sub(x, pattern, to):
@@ -50,16 +53,37 @@ def collapse(x):
 
 
 def drop_elements(x, names=("script", "style", "noscript")):
-    out = sub(x, r"(?s)<!--.*?(?:-->|\z)", "")
+    """Elements give way to a nameless tag; nested ones go from the inside, as deep as the views nest them."""
     for n in names:
-        out = sub(out, rf"(?is)<{n}\b[^>]*>.*?(?:</{n}\s*>|\z)", " ")
-    return out
+        whole = rf"(?is)<{n}(?:\s{_ATTRIBUTES})?>.*?</{n}\s*>"
+        if n == "svg":
+            inner = rf"(?is)<{n}(?:\s{_ATTRIBUTES})?>(?:[^<]|<[^s/]|</[^s]|<s[^v]|</s[^v])*</{n}\s*>"
+            x = sub(sub(x, inner, "</>"), inner, "</>")
+        x = sub(x, whole, "</>")
+    return x
+
+
+def tokens(x):
+    return f"regexp_extract_all({x}, {q(TAG + '|[^<]+|<')})"
+
+
+def element(x, name, class_name=""):
+    """Inner HTML of the first such element, by the sum of opened and closed tags of its name."""
+    opens = f"regexp_matches(t, {q(rf'(?i)^<{name}[\s/>]')}) and not regexp_matches(t, {q('/>$')})"
+    value = f"regexp_extract(t, {q(rf'(?i)^<{name}(?:[\s/]+(?:[^\s/=<>c][^\s/=<>]*|c[^l][^\s/=<>]*)(?:={VALUE})?)*[\s/]+class\s*=\s*({VALUE})')}, 1)"
+    words = f"string_split(translate({value}, {q(chr(34) + chr(39))}, ''), ' ')"
+    fits = f"list_contains({words}, '{class_name}')" if class_name else "true"
+    closes = f"regexp_matches(t, {q(rf'(?i)^</{name}[\s/>]')})"
+    return f"""(select case when s > 0 then array_to_string(ts[s + 1:coalesce(list_position(list_transform(range(s, len(ks) + 1),
+      lambda j: list_sum(ks[s:j])), 0) + s - 2, len(ts))], '') end from (select ts, ks,
+      coalesce(list_position(list_transform(ts, lambda t: {opens} and {fits}), true), 0) as s from (select ts, list_transform(ts,
+      lambda t: case when {opens} then 1 when {closes} then -1 else 0 end) as ks from (select {tokens(x)} as ts))))"""
 
 
 def entities(x):
     """The references that occur in the tables; the ampersand last, so nothing is decoded twice."""
     for name, ch in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", "\xa0"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        x = f"replace({x}, '&{name};', {q(ch)})"
+        x = f"replace(replace({x}, '&{name};', {q(ch)}), '&{name}', {q(ch)})"
     return x
 
 

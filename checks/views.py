@@ -71,16 +71,18 @@ from postings
 
 BOARD_B_PAGES = """
 select doc_id, concat('https://www.fuzu.com/kenya/jobs/post-', cast(doc_id as varchar(20))) as url,
- concat('<html><body><svg><text>logo</text></svg><nav>Location</nav>',
-  case doc_id % 5 when 0 then '<main>' else '<section class="x job-content y">' end,
+ concat('<html><body><svg><svg><text>logo</text></svg>icon</svg><nav>Location</nav><!-- <section class="job-content"> -->',
+  case doc_id % 7 when 1 then '<section class="job-content-side">Tags</section>' when 2 then '<section data-class="job-content">Salary</section>' else '' end,
+  case doc_id % 5 when 0 then '<main>' else concat('<section ', case when doc_id % 7 = 3 then 'title="a>b" ' else '' end, 'class="x job-content y">') end,
   '<h1> <span>', title, '</span> <i>role</i></h1><a href="/company/1"><img src="l.png"></a><a href="/kenya/company/2">', company_profile, ', </a>',
   '<p>Posted: ', cast(1 + doc_id % 28 as varchar(20)), ' May 2025 | Apply by: 12 Jun 2025</p><h2>Job details</h2>',
+  case doc_id % 7 when 4 then '<section><b>Facts</b><section>inner</section></section>' when 5 then '<section/>' when 6 then '<script>if (a<b) "</div>";</script>' else '' end,
   '<div>Location</div><div>Nairobi</div><span>•</span><div>Kenya</div><div>Contract Type</div>',
   case when doc_id % 3 = 0 then '' else '<div>Full time</div>' end,
   case when doc_id % 4 = 1 then '<div>Salary</div><div>KES 20,000</div><div>per month</div>' else '' end,
   '<div>About the job</div><a href="/company/2/about">Company</a>',
   case when doc_id % 11 = 3 then '' else concat('<div>Description</div><div>', description, '</div>') end,
-  '<div>Contact help@fuzu.com or jobs@team.fuzu.com</div>',
+  '<div title="x>y">Contact help@fuzu.com or jobs@team.fuzu.com &copy2024</div>',
   case when doc_id % 6 = 0 then '' else concat('<div>Tags</div><div>Accounting</div><div>Finance</div><div>',
    case doc_id % 3 when 0 then 'Mid-level' when 1 then 'Entry and Basic-level' else 'senior' end, '</div><div>Insurance</div><div>Kenya</div>') end,
   '<div>Start hiring with Fuzu</div>', case doc_id % 5 when 0 then '</main>' else '</section>' end, '</body></html>') as html

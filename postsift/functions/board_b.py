@@ -3,7 +3,7 @@
 from pyspark.sql import Column, functions as F
 
 from postsift import vocab
-from postsift.functions import text
+from postsift.functions import markup, text
 from postsift.functions.text import _col, strip
 
 _BOARD = vocab.BOARD_B
@@ -13,37 +13,13 @@ DROPPED_ELEMENTS = (*text.DROPPED_ELEMENTS, "svg")
 # --- elements of the page --------------------------------------------------
 
 
-def element(html, name: str, attribute: str = "") -> Column:
-    """Inner HTML of the first such element, or of its open rest; null if none.
-
-    The html past the opening tag is cut before each tag of that name; the element ends where the
-    depth returns to zero, so elements of the same name inside it are part of it.
-    """
-    opening = rf"(?i)<{name}\b[^<>]*{attribute}[^<>]*+>" if attribute else rf"(?i)<{name}\b[^<>]*+>"
-    inner, closing = rf"<{name}(?=[\s/>])[^<>]*+>", rf"</{name}\s*>"
-    html = _col(html)
-
-    def step(piece):
-        return F.when(piece.rlike("(?i)^" + closing), -1).when(piece.rlike("(?i)^" + inner), 1).otherwise(0)
-
-    def walk(at, piece):
-        depth = at["depth"] + step(piece)
-        past = F.struct(depth.alias("depth"), (at["pieces"] + (depth > 0).cast("int")).alias("pieces"))
-        return F.when(at["depth"] > 0, past).otherwise(at)
-
-    def content(pieces):
-        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("pieces"))
-        return F.array_join(F.slice(pieces, F.lit(1), F.aggregate(pieces, start, walk, lambda at: at["pieces"])), "")
-
-    rest = F.regexp_extract(html, opening + r"(?s:(.*+))", 1)
-    pieces = F.split(rest, f"(?i)(?={inner}|{closing})")
-    return F.when(html.rlike(opening), F.get(F.transform(F.array(pieces), content), 0))
+element = markup.element
 
 
 def job_container(html) -> Column:
-    """The job section, else the main element, else the body."""
-    section = element(html, "section", r"""class\s*=\s*["'][^"'>]*\bjob-content\b""")
-    return F.coalesce(section, element(html, "main"), element(html, "body"), F.lit(""))
+    """The job section, else the main element, else the body; a page without one is all body."""
+    html = _col(html)
+    return F.coalesce(element(html, "section", "job-content"), element(html, "main"), element(html, "body"), html)
 
 
 def h1_html(html) -> Column:
@@ -56,8 +32,11 @@ def h1_title(html, joiner=" ") -> Column:
 
 
 def company_link_texts(html) -> Column:
-    pattern = r"""(?is)<a\b[^<>]*(?<![\w-])href\s*=\s*["']?[^"'<>\s]*/company/[^<>]*+>((?:[^<]++|<(?!/?a\b))*+)</a\s*>"""
-    return F.regexp_extract_all(_col(html), F.lit(pattern), F.lit(1))
+    """Inner HTML of the links to company pages; a link ends before the next one."""
+    link = rf"(<(?i:a)(?=[\s/>]){markup.ATTRIBUTES}>(?:[^<]++|<(?!/?(?i:a)[\s/>]))*+</(?i:a)\s*+>)"
+    links = F.regexp_extract_all(_col(html), F.lit(f"{link}|{markup.NODE_BREAK}"), F.lit(1))
+    own = F.filter(links, lambda x: (x != "") & markup.attribute(x, "href").contains("/company/"))
+    return F.transform(own, lambda x: F.regexp_extract(x, rf"^<[A-Za-z]{markup.ATTRIBUTES}>((?s:.*))</[aA]\s*+>$", 1))
 
 
 def company_from_link(container) -> Column:

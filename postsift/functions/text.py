@@ -3,12 +3,13 @@
 import operator
 import unicodedata
 from functools import reduce
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from postsift import vocab
+from postsift.functions import markup
 
 
 def _col(c):
@@ -41,23 +42,19 @@ def or_empty(c) -> Column:
 # --- markup ----------------------------------------------------------------
 
 DROPPED_ELEMENTS = ("script", "style", "noscript")
-# A tag ends at the next "<" too, so a run of unclosed ones is read once.
-TAG = r"</?[A-Za-z][^<>]*+>|<[!?][^<>]*+>"
-ENTITY = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31});"
+ENTITY = r"^&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,31})(;?)"
+# The names that count without a semicolon, and what they stand for; a longer name goes first.
+BARE_NAMES = {name: char for name, char in html5.items() if not name.endswith(";")}
+BARE_ENTITY = "^&(" + "|".join(sorted(BARE_NAMES, key=lambda n: (-len(n), n))) + ")"
 
 
 def drop_elements(c, elements=DROPPED_ELEMENTS) -> Column:
-    """Remove comments and the given elements together with what they contain."""
-    out = F.regexp_replace(_col(c), r"(?s)<!--.*?(?:-->|\z)", "")
-    for name in elements:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^<>]*+>.*?(?:</{name}\s*>|\z)", " ")
-    return out
+    return markup.drop_elements(c, elements)
 
 
 def _entity_table() -> Column:
-    pairs = [F.lit(x) for name, cp in name2codepoint.items() for x in (name, chr(cp))]
-    pairs += [F.lit("apos"), F.lit("'")]
-    return F.create_map(*pairs)
+    names = {name: chr(cp) for name, cp in name2codepoint.items()} | {"apos": "'"} | BARE_NAMES
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
 
 
 def _code_point(number) -> Column:
@@ -66,41 +63,54 @@ def _code_point(number) -> Column:
     return F.when(ok, text).otherwise(F.lit("�"))
 
 
-def _decode_piece(piece) -> Column:
-    name = piece["name"]
-    # Leading zeros go; nine digits are enough to be beyond all characters.
-    plain = F.substring(F.regexp_replace(name, "^#[xX]?0*(?=.)", ""), 1, 9)
-    digits = F.when(name.rlike("^#[xX]"), F.conv(plain, 16, 10)).otherwise(plain)
-    char = F.when(name.startswith("#"), _code_point(digits.cast("bigint"))).otherwise(F.try_element_at(_entity_table(), name))
-    rest = F.substring(piece["text"], F.length(name) + 3, F.length(piece["text"]))
-    return F.when((name == "") | char.isNull(), piece["text"]).otherwise(F.concat(char, rest))
+def _decode_piece(in_attribute):
+    def decode(piece):
+        text, name = piece["text"], piece["name"]
+        past = lambda n: F.substring(text, n, F.length(text))
+        # Leading zeros go; nine digits are enough to be beyond all characters.
+        plain = F.substring(F.regexp_replace(name, "^#[xX]?0*(?=.)", ""), 1, 9)
+        digits = F.when(name.rlike("^#[xX]"), F.conv(plain, 16, 10)).otherwise(plain)
+        rest = past(F.length(name) + F.length(piece["end"]) + 2)
+        numeric = F.when(name.startswith("#"), F.concat(_code_point(digits.cast("bigint")), rest))
+        named = F.when(piece["end"] == ";", F.concat(F.try_element_at(_entity_table(), name), rest))
+        # Without its semicolon, the longest known name that the text begins with.
+        bare = F.regexp_extract(text, BARE_ENTITY + ("(?![=A-Za-z0-9])" if in_attribute else ""), 1)
+        prefix = F.when(bare != "", F.concat(F.try_element_at(_entity_table(), bare), past(F.length(bare) + 2)))
+        return F.when(name == "", text).otherwise(F.coalesce(numeric, named, prefix, text))
 
+    return decode
 
-def decode_entities(c) -> Column:
-    """Character references, named or numeric, replaced once from left to right."""
+
+def decode_entities(c, in_attribute=False) -> Column:
+    """Character references, named or numeric, replaced once from left to right.
+
+    Some names count without a semicolon too; in an attribute only if no letter, digit or "="
+    follows, since addresses hold such names by chance.
+    """
     c = _col(c)
     pieces = F.transform(
         F.split(c, "(?=&)"),
-        lambda p: F.struct(p.alias("text"), F.regexp_extract(p, ENTITY, 1).alias("name")),
+        lambda p: F.struct(p.alias("text"), F.regexp_extract(p, ENTITY, 1).alias("name"), F.regexp_extract(p, ENTITY, 2).alias("end")),
     )
-    decoded = F.array_join(F.transform(pieces, _decode_piece), "")
+    decoded = F.array_join(F.transform(pieces, _decode_piece(in_attribute)), "")
     return F.when(c.contains("&"), decoded).otherwise(c)
 
 
 def strip_tags(c, tag_text=" ") -> Column:
-    return decode_entities(F.regexp_replace(_col(c), TAG, tag_text))
+    return decode_entities(F.regexp_replace(_col(c), markup.NODE_BREAK, tag_text))
 
 
 def node_text(c, joiner: str) -> Column:
     """Text of an element's nodes, each trimmed and the empty ones left out, joined."""
-    tags = F.regexp_replace(_col(c), rf"(?:{vocab.WS}*(?:{TAG}))++{vocab.WS}*", joiner)
+    tags = F.regexp_replace(_col(c), rf"(?:{vocab.WS}*+(?:{markup.NODE_BREAK}))++{vocab.WS}*+", joiner)
     return strip(decode_entities(tags))
 
 
 def bare_text(c, elements=DROPPED_ELEMENTS, tag_text=" ") -> Column:
-    """Markup removed, entities left; plain text skips the patterns."""
+    """Markup removed in one pass, entities left; plain text skips the pattern."""
     c = _col(c)
-    return F.when(c.contains("<"), F.regexp_replace(drop_elements(c, elements), TAG, tag_text)).otherwise(c)
+    pattern = "|".join([*(markup.whole_element(e) for e in elements), markup.NODE_BREAK])
+    return F.when(c.contains("<"), F.regexp_replace(c, pattern, tag_text)).otherwise(c)
 
 
 def strip_html(c, elements=DROPPED_ELEMENTS, tag_text=" ") -> Column:

@@ -3,17 +3,15 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import vocab
-from postsift.functions import board_a, board_b, email, keys, text
+from postsift.functions import board_a, board_b, email, keys, markup, text
 from postsift.operators.rows import filter_here
 from postsift.sources.conform import conform_unified
 
-_HREF = r"""(?is)<a\b[^<>]*?(?<![\w-])href\s*=\s*["']?([^"'<>\s]*)"""
-
 
 def page_links(html, base_url: str, prefix: str) -> Column:
     """Distinct absolute links under a prefix, sorted."""
-    hrefs = F.regexp_extract_all(text._col(html), F.lit(_HREF), F.lit(1))
-    decoded = F.transform(hrefs, text.decode_entities)
+    hrefs = F.transform(markup.tags_of(html, "a"), lambda tag: markup.attribute(tag, "href"))
+    decoded = F.transform(hrefs, lambda h: text.decode_entities(h, in_attribute=True))
     absolute = F.transform(decoded, lambda h: F.when(h.startswith(prefix), F.concat(F.lit(base_url), h)).otherwise(h))
     return F.array_sort(F.array_distinct(F.filter(absolute, lambda h: h.startswith(base_url + prefix))))
 
