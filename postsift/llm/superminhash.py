@@ -8,8 +8,9 @@ the text is done, after two or three rounds for most texts.
 
 Texts whose bands of ROWS places agree somewhere meet. Two sets at the least similarity of 0.85
 miss each other with a chance of (1 - 0.85^6)^32, 3 in 10 million. A crowd in a band is not paired:
-1. Each text is checked against the smallest text that any of its crowds has, on full shingle sets.
-2. Then against the smallest of each crowd that is still in another group.
+1. Each text is checked on full shingle sets against one hub. The hub of a crowd is its text with
+   the largest crowds in all bands, which is the one nearest to the middle of the group.
+2. Then against the hub of each crowd that is still in another group.
 3. Where a crowd still falls into several groups, texts outside the crowd's largest group are
    compared by signatures with all of it, block by block, and pairs of different groups whose
    signatures agree in FLOOR of the places (0.85 less five deviations) are checked on full sets.
@@ -245,7 +246,7 @@ def _placed(entries, rooted):
 
 
 def _apart(placed):
-    """Pairs of a crowd's smallest text with each other one that is still in another group."""
+    """Pairs of a crowd's hub with each other text that is still in another group."""
     heads = cut_lineage(placed.filter("node = hub").select("band", "n", F.col("root").alias("hub_root")))
     met = join_hot(placed.drop("n"), heads, "band", "n", placed.count())
     return met.filter("root <> hub_root").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -284,19 +285,25 @@ def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, perce
     # the first row of each text carries its signature; its place is the text's number
     nodes = cut_lineage(signed.join(first, signed["_at"] == first["node"]).select("node", "copy", "least", "times", "bands", "marks"))
     shared = nodes.select("node", F.posexplode("bands").alias("k", "hash")).select(F.xxhash64("k", "hash").alias("band"), "node")
-    crowds = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    entries = cut_lineage(join_hot(shared, cut_lineage(crowds), "band", "n", shared.count()))
+    crowds = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = cut_lineage(join_hot(shared, cut_lineage(crowds), "band", "n", shared.count()))
+    # A text in large crowds throughout is near the middle of its group: it is the hub of its crowds.
+    ranked = cut_lineage(met.join(met.groupBy("node").agg((-F.sum("n")).alias("order")), "node"))
+    hubs = ranked.groupBy("band", "n").agg(F.min(F.struct("order", "node")).alias("hub"))
+    entries = cut_lineage(join_hot(ranked.select("band", "node"), cut_lineage(hubs), "band", "n", ranked.count())
+                          .select("band", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.order").alias("order")))
     named = cut_lineage(nodes.select("copy", "node").join(entries.select("node").distinct(), "node"))
     bodies = cut_lineage(_texts_of(rows, named))
 
     def check(pairs):
         return cut_lineage(_joined(confirmed(cut_lineage(pairs), bodies, width, percent)))
 
-    stars = entries.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = check(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    others = entries.filter("node <> hub")
+    links = check(others.groupBy("node").agg(F.min(F.struct("order", "hub")).alias("a")).select(F.col("a.hub").alias("a"), F.col("node").alias("b")))
     links = links.unionByName(check(_apart(cut_lineage(_placed(entries, components(links))))))
     left_over = _left_over(cut_lineage(_placed(entries, components(links))), nodes)
-    links = links.unionByName(check(left_over.join(stars.distinct(), ["a", "b"], "left_anti")))
+    checked = others.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    links = links.unionByName(check(left_over.join(checked, ["a", "b"], "left_anti")))
     rooted = cut_lineage(components(links))
     tops = nodes.join(rooted, "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = join_hot(rooted, tops, "root", "n", rooted.count()).select("node", "component_id")
