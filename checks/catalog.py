@@ -453,13 +453,47 @@ UNIQ = LAB + [
 ]
 
 
+def _chosen(values):
+    """SQL for the number of the smallest of some expressions, ties to the last."""
+    return "case " + " ".join(f"when {v} = least({', '.join(values)}) then {f}" for f, v in reversed(list(enumerate(values)))) + " end"
+
+
+def poured(source, loads, weight, k, name):
+    """Groups of a CTE dealt into the room that loads (one row, columns l0, l1 ...) leave, in order of h."""
+    return [
+        (f"{name}_t", f"select f, ld, (select coalesce(sum({weight}), 0) from {source}) as t from (unpivot {loads} on "
+                      f"{', '.join(f'l{f}' for f in range(k))} into name f value ld)"),
+        (f"{name}_l", f"select x.f, x.ld, x.t, count(*) as m, sum(y.ld) as s from {name}_t x join {name}_t y on y.ld <= x.ld group by all"),
+        (f"{name}_m", f"select max(m) as m, max(s) as s, max(t) as t from {name}_l where t + s >= m * ld"),
+        (f"{name}_b", f"select cast(substring(f, 2) as int) as f, m.m, sum(greatest(0, m.t + m.s - m.m * x.ld)) over (order by f) as bound from {name}_t x, {name}_m m"),
+        (f"{name}_s", f"select *, sum({weight}) over (order by h) - {weight} as before from {source}"),
+        (name, f"select grp, n_rows, n_pos, h, (select min(f) from {name}_b b where s.before * b.m < b.bound) as fold from {name}_s s"),
+    ]
+
+
 def dealt(source, k, name):
-    """Groups of a CTE dealt to k folds."""
+    """Groups of a CTE placed in k folds: heavy ones by a recursive walk, the others into the room left."""
+    held = [f"{x}{f}" for x in "np" for f in range(k)]  # rows and frauds of each fold so far
+    cost = [f"(w.n{f} * g.n_rows * g.pos_w + w.p{f} * g.n_pos * g.row_w)" for f in range(k)]
+    step = ", ".join(f"{x} + case when fold = {x[1:]} then {'n_rows' if x[0] == 'n' else 'n_pos'} else 0 end" for x in held)
+    sums = lambda column: ", ".join(f"coalesce(sum(case when fold = {f} then {column} end), 0) as l{f}" for f in range(k))
     return [
-        (f"{name}_g", f"""select grp, sum(case when fraudulent = '1' then 1 else 0 end) as n_pos, sum(case when fraudulent = '1' then 0 else 1 end) as n_neg
+        (f"{name}_g", f"""select grp, md5(concat('42|', grp)) as h, count(*)::hugeint as n_rows, count(*) filter (where fraudulent = '1')::hugeint as n_pos
   from {source} group by grp"""),
-        (f"{name}_r", f"select *, row_number() over (order by n_pos desc, n_neg desc, md5(concat('42|', grp)), grp) - 1 as r from {name}_g"),
-        (name, f"select grp, n_pos, n_neg, cast(case when (r // {k}) % 2 = 0 then r % {k} else {k} - 1 - r % {k} end as bigint) as fold from {name}_r"),
+        (f"{name}_a", f"""select *, greatest(sum(n_pos) over (), 1) * greatest(sum(n_pos) over (), 1) as pos_w, sum(n_rows) over () * sum(n_rows) over () as row_w,
+  n_rows * 1000 >= sum(n_rows) over () or (n_pos > 0 and n_pos * 1000 >= sum(n_pos) over ()) as heavy from {name}_g"""),
+        (f"{name}_h", f"""select h, n_rows, n_pos, pos_w, row_w, row_number() over (order by n_rows desc, n_pos desc, h) as r from {name}_a where heavy"""),
+        (f"{name}_w", f"""select 0::bigint as r, ''::varchar as h, -1 as fold, {', '.join(f'0::hugeint as {x}' for x in held)}
+  union all select r, h, fold, {step} from (select g.r, g.h, g.n_rows, g.n_pos, {', '.join(f'w.{x}' for x in held)}, {_chosen(cost)} as fold
+  from {name}_w w join {name}_h g on g.r = w.r + 1)"""),
+        (f"{name}_1", f"select g.*, w.fold from {name}_g g join {name}_w w on g.h = w.h"),
+        (f"{name}_lp", f"select {sums('n_pos')} from {name}_1"),
+        (f"{name}_fp", f"select * from {name}_a where not heavy and n_pos > 0"),
+        *poured(f"{name}_fp", f"{name}_lp", "n_pos", k, f"{name}_2"),
+        (f"{name}_lr", f"select {sums('n_rows')} from (select fold, n_rows from {name}_1 union all select fold, n_rows from {name}_2)"),
+        (f"{name}_fr", f"select * from {name}_a where not heavy and n_pos = 0"),
+        *poured(f"{name}_fr", f"{name}_lr", "n_rows", k, f"{name}_3"),
+        (name, " union all ".join(f"select grp, cast(fold as bigint) as fold from {name}_{n}" for n in (1, 2, 3))),
     ]
 
 

@@ -30,7 +30,7 @@ def with_views(names, body, *ctes):
     if any(n in NEEDS_POSTINGS for n in wanted) and "postings" not in wanted:
         wanted.insert(0, "postings")
     parts = [f"{n} as ({VIEWS[n].strip()})" for n in wanted] + [f"{n} as ({s.strip()})" for n, s in ctes]
-    return "with " + ",\n".join(parts) + "\n" + body.strip()
+    return "with recursive " + ",\n".join(parts) + "\n" + body.strip()
 
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

@@ -111,6 +111,40 @@ def test_split_of_skewed_groups(spark):
     assert split.fold_count(0.4) == 2 and split.fold_count(0.2) == 5
 
 
+def test_folds_beside_a_heavy_group(spark):
+    """A group of 40 % has a fold of its own; heavy and light groups leave the others even, frauds too."""
+    n = 20_000
+    group = F.when(F.col("id") < 0.4 * n, "big").when(F.col("id") < 0.5 * n, F.concat(F.lit("m"), F.floor(F.col("id") / 100))).otherwise(
+        F.concat(F.lit("s"), F.col("id")))
+    df = spark.range(n).select("id", group.alias("group"), (F.col("id") % 8 == 0).cast("int").cast("string").alias("fraudulent"))
+    folds = split.group_folds(df, 5).cache()
+    assert folds.count() == folds.select("group").distinct().count() == df.select("group").distinct().count()
+    loads = {r["fold"]: r for r in folds.groupBy("fold").agg(F.sum("n_rows").alias("rows"), F.sum("n_pos").alias("frauds")).collect()}
+    assert set(loads) == {0, 1, 2, 3, 4} and sum(r["rows"] for r in loads.values()) == n and sum(r["frauds"] for r in loads.values()) == n / 8
+    assert [loads[4]["rows"], loads[4]["frauds"]] == [0.4 * n, 0.05 * n]
+    assert all(abs(loads[f]["rows"] - 0.15 * n) <= n / 1000 and abs(loads[f]["frauds"] - 0.01875 * n) <= n / 1000 for f in range(4))
+    assert {r["split"]: r["n"] for r in split.group_stratified_split(df).groupBy("split").agg(F.count("*").alias("n")).collect()}["test"] == loads[0]["rows"]
+
+
+def test_folds_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "id long, `group` string, fraudulent string")
+    assert split.with_folds(empty, 5).count() == 0
+    odd = spark.createDataFrame([(1, None, "1"), (2, None, "0"), (3, "a", None), (4, "a", None), (5, "b", "0")], empty.schema)
+    rows = {r["id"]: r["fold"] for r in split.with_folds(odd, 2).collect()}
+    assert rows[1] is None and rows[2] is None and rows[3] == rows[4] and rows[5] is not None
+
+
+def test_room_is_filled_to_one_level():
+    rng = random.Random(3)
+    for _ in range(300):
+        loads, total = [rng.randint(0, 40) for _ in range(rng.randint(1, 6))], rng.randint(1, 60)
+        m, bounds = split.room_bounds(loads, total)
+        rooms = [(b - a) / m for a, b in zip([0, *bounds], bounds)]
+        filled = [x + r for x, r in zip(loads, rooms) if r > 0]
+        assert math.isclose(sum(rooms), total) and max(filled) - min(filled) < 1e-9
+        assert all(x >= max(filled) - 1e-9 for x, r in zip(loads, rooms) if r == 0)
+
+
 def test_copies_and_conflicts(spark):
     rows = [("x", "0", 1, 5), ("x", "0", 0, 9), ("y", "0", 0, 1), ("y", "1", 1, 2), ("z", "1", 1, 1)] + [("hot", "0", 1, n) for n in range(100, 400)]
     df = spark.createDataFrame(rows, "text_norm string, fraudulent string, source_rank int, ordinal int")
