@@ -530,6 +530,9 @@ add("j04_free_domain_lookup", lambda i: i.postings.filter(email.is_free_email("c
 add("j05_duplicate_count_lookup",
     lambda i: dedupe.duplicate_count_lookup(i.postings.select(F.md5(keys.normalize_key("description")).alias("k")), "k"),
     over_postings(f"select md5({_n}) as k, count(*) as duplicate_count from postings group by 1"))
+add("j05_duplicate_count_rows",
+    lambda i: dedupe.with_duplicate_count(i.postings.select("doc_id", "source", keys.normalize_key("description").alias("k")), "k").select("doc_id", "source", "duplicate_count"),
+    over_postings(f"select doc_id, source, count(*) over (partition by {_n}) as duplicate_count from postings"))
 add("j06_feature_label_join", lambda i: i.vectors.select("id", "source", "split", F.col("group").alias("grp"), "y", "urgency_term_count", "ttr", "caps_word_ratio"),
     over_postings("select id, source, split, grp, cast(fraudulent as bigint) as y, urgency_term_count, ttr, caps_word_ratio from feat",
                   *DATA, *d.feature_ctes("data")))

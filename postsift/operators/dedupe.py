@@ -11,6 +11,12 @@ def label_nunique_by_text(df: DataFrame, text_norm="text_norm", label="fraudulen
     return df.groupBy(keys.text_key(text_norm).alias("text_key")).agg(F.countDistinct(label).alias("n_labels"))
 
 
+def _labels_differ(label):
+    """Whether a text's labels differ, nulls apart: bounds of 64-bit hashes, which hash aggregation can hold."""
+    code = F.when(F.col(label).isNotNull(), F.xxhash64(F.col(label).cast("string")))
+    return F.min(code) != F.max(code)
+
+
 def collapse_copies(df: DataFrame, key_text: str, order_by=("source_rank", "ordinal"), label=None) -> DataFrame:
     """One row per text, the first in load order, with ``n_copies`` and, given a label
     column, whether copies disagree (``label_conflict``).
@@ -23,7 +29,7 @@ def collapse_copies(df: DataFrame, key_text: str, order_by=("source_rank", "ordi
     first = F.min_by(F.struct(*carried), F.struct(*order_by)).alias("_first")
     facts = [first, F.count(F.lit(1)).alias("n_copies")]
     if label is not None:
-        facts.append((F.min(label) != F.max(label)).alias("label_conflict"))
+        facts.append(_labels_differ(label).alias("label_conflict"))
     merged = df.groupBy(keys.text_key(key_text).alias("_key")).agg(*facts)
     return merged.drop("_key").select("_first.*", *[c for c in merged.columns if c not in ("_key", "_first")])
 
@@ -40,7 +46,7 @@ def conflict_anti_join(df: DataFrame, text_norm="text_norm", label="fraudulent")
     table are then spread over all tasks (``left_join_hot``).
     """
     keyed = df.withColumn("_text", F.hex(keys.text_key(text_norm)))
-    facts = keyed.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), (F.min(label) != F.max(label)).alias("_clash"))
+    facts = keyed.groupBy("_text").agg(F.count(F.lit(1)).alias("_n"), _labels_differ(label).alias("_clash"))
     total = facts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     joined = left_join_hot(keyed, facts, "_text", "_n", total)
     return joined.filter(~F.coalesce("_clash", F.lit(False))).select(*df.columns)
@@ -55,3 +61,15 @@ def annotation_dedupe(df: DataFrame, order_by=("source_rank", "ordinal")) -> Dat
 def duplicate_count_lookup(df: DataFrame, key: str) -> DataFrame:
     """Every key with its count."""
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("duplicate_count"))
+
+
+def with_duplicate_count(df: DataFrame, key: str, name="duplicate_count") -> DataFrame:
+    """Every row with all its columns and the number of rows that share its key.
+
+    Null keys are copies of each other, and not of empty ones. Counts are made before the shuffle;
+    rows of a key that makes up a large share of the table are then spread over all tasks.
+    """
+    keyed = df.withColumn("_text", F.coalesce(F.hex(keys.text_key(F.col(key).cast("string"))), F.lit("null")))
+    counts = keyed.groupBy("_text").agg(F.count(F.lit(1)).alias("_n")).withColumn(name, F.col("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return left_join_hot(keyed, counts, "_text", "_n", total).drop("_text")

@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postsift import vocab
 from postsift.functions import verdict
+from postsift.operators.lineage import cut_lineage
 
 N = len(vocab.FEATURE_ORDER)
-PATH_SCHEMA = "tree int, leaf int, value double, lo array<double>, hi array<double>, z array<double>"
 SLICE_BYTES = 128 << 20
 _PATH_BYTES = 8 * (3 * N + 1)
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(8)
@@ -29,40 +29,49 @@ _NODES, _WEIGHTS = (_NODES + 1) / 2, _WEIGHTS / 2
 # --- the forest as a table of paths ------------------------------------------
 
 
-def _walk(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Paths of one tree. Repeated tests of a feature merge: intervals meet, shares multiply."""
-    by_id = {n["id"]: n for n in nodes.to_dict("records")}
-    found = []
-    stack = [(0, np.full(N, -np.inf), np.full(N, np.inf), np.ones(N))]
-    while stack:
-        at, lo, hi, z = stack.pop()
-        node = by_id[at]
-        cover = node["stats"].sum()
-        if node["left"] < 0:
-            found.append((node["tree"], at, node["stats"][1] / cover, lo, hi, z))
-            continue
-        f, cut = node["feature"], node["threshold"]
-        for child, low, high in ((node["left"], lo[f], min(hi[f], cut)), (node["right"], max(lo[f], cut), hi[f])):
-            lo2, hi2, z2 = lo.copy(), hi.copy(), z.copy()
-            lo2[f], hi2[f] = low, high
-            z2[f] *= by_id[child]["stats"].sum() / cover
-            stack.append((child, lo2, hi2, z2))
-    return pd.DataFrame(found, columns=["tree", "leaf", "value", "lo", "hi", "z"])
+def _spread(neutral: float, feature: str, value) -> Column:
+    """An array over all features: ``value`` in the place of ``feature``, ``neutral`` elsewhere."""
+    return F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.when(i == F.col(feature), value).otherwise(F.lit(neutral)))
 
 
 def tree_paths(saved_nodes: DataFrame) -> DataFrame:
-    """Leaf paths of a saved forest, from its node table; one task per tree."""
+    """Leaf paths of a saved forest, from its node table: tree, leaf, value, lo, hi, z.
+
+    Each node starts with the test that leads to it from its parent. Nodes are then joined to the
+    node their path starts at, which doubles the paths; after five rounds those of 32 levels reach
+    the root. Repeated tests of a feature merge: intervals meet, shares multiply. A round is stored
+    in the shared folder. A tree that is a single leaf has one path without tests.
+    """
     node = F.col("nodeData")
-    flat = saved_nodes.select(
+    flat = cut_lineage(saved_nodes.select(
         F.col("treeID").cast("int").alias("tree"),
         node["id"].alias("id"),
-        node["impurityStats"].alias("stats"),
         node["leftChild"].alias("left"),
         node["rightChild"].alias("right"),
         node["split"]["featureIndex"].alias("feature"),
         F.get(node["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"),
-    )
-    return flat.groupBy("tree").applyInPandas(_walk, PATH_SCHEMA)
+        F.aggregate(node["impurityStats"], F.lit(0.0), lambda a, x: a + x).alias("cover"),
+        F.get(node["impurityStats"], 1).alias("frauds"),
+    ))
+    sides = [F.struct(F.col("left").alias("id"), F.lit(True).alias("low")), F.struct(F.col("right").alias("id"), F.lit(False).alias("low"))]
+    tests = flat.filter("left >= 0").select("tree", F.col("id").alias("up"), "feature", "threshold", F.col("cover").alias("whole"), F.explode(F.array(*sides)).alias("side"))
+    tests = tests.select("tree", "side.id", "side.low", "up", "feature", "threshold", "whole")
+    steps = flat.select("tree", "id", "left", "cover", "frauds").join(tests, ["tree", "id"], "left")
+    low, inf = F.col("low"), float("inf")
+    paths = cut_lineage(steps.select(
+        "tree", "id",
+        F.when(F.col("left") < 0, F.col("frauds") / F.col("cover")).alias("value"),  # null: not a leaf
+        F.when(F.col("up") > 0, F.col("up")).alias("up"),  # null: the path starts at the root, whose id is 0
+        _spread(-inf, "feature", F.when(low, F.lit(-inf)).otherwise(F.col("threshold"))).alias("lo"),
+        _spread(inf, "feature", F.when(low, F.col("threshold")).otherwise(F.lit(inf))).alias("hi"),
+        _spread(1.0, "feature", F.col("cover") / F.col("whole")).alias("z")))
+    while not paths.filter("up is not null").isEmpty():
+        upper = paths.select("tree", F.col("id").alias("up"), F.struct("up", "lo", "hi", "z").alias("b"))
+        both = lambda name, merge: F.when(F.col("b").isNull(), F.col(name)).otherwise(F.zip_with(name, F.col("b")[name], merge)).alias(name)
+        paths = cut_lineage(paths.join(upper, ["tree", "up"], "left").select(
+            "tree", "id", "value", F.col("b")["up"].alias("up"),
+            both("lo", lambda x, y: F.greatest(x, y)), both("hi", lambda x, y: F.least(x, y)), both("z", lambda x, y: x * y)))
+    return paths.filter("value is not null").select("tree", F.col("id").alias("leaf"), "value", "lo", "hi", "z")
 
 
 def base_value(paths: DataFrame) -> Column:

@@ -244,6 +244,32 @@ def test_contributions_equal_brute_force(spark, forest_table, tmp_path_factory):
             assert got[row["id"]][f] == pytest.approx(phi, abs=1e-12)
 
 
+def test_paths_of_a_hand_made_forest(spark):
+    """A chain that tests feature 2 at each of seven levels, and a tree that is one leaf."""
+    node = "struct<id: int, impurityStats: array<double>, leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>>>"
+    rows = [(1, (0, [3.0, 1.0], -1, -1, (-1, [])))]
+    for level in range(7):  # inner nodes 0, 2, 4 ...; the left child is a leaf with half of the rows
+        rows.append((0, (2 * level, [2.0 ** (9 - level), 0.0], 2 * level + 1, 2 * level + 2, (2, [float(level)]))))
+        rows.append((0, (2 * level + 1, [2.0 ** (7 - level), 2.0 ** (7 - level)], -1, -1, (-1, []))))
+    rows.append((0, (14, [0.0, 4.0], -1, -1, (-1, []))))
+    paths = {(r["tree"], r["leaf"]): r for r in shap.tree_paths(spark.createDataFrame(rows, f"treeID int, nodeData {node}")).collect()}
+    assert set(paths) == {(1, 0), (0, 14)} | {(0, 2 * level + 1) for level in range(7)}
+    assert paths[1, 0]["value"] == 0.25 and paths[1, 0]["z"] == [1.0] * 15 and paths[1, 0]["lo"] == [-math.inf] * 15
+    for level in range(7):
+        leaf = paths[0, 2 * level + 1]
+        assert (leaf["value"], leaf["lo"][2], leaf["hi"][2], leaf["z"][2]) == (0.5, level - 1.0 if level else -math.inf, float(level), 0.5 ** (level + 1))
+        assert leaf["z"][:2] + leaf["z"][3:] == [1.0] * 14 and leaf["hi"][:2] + leaf["hi"][3:] == [math.inf] * 14
+    assert (paths[0, 14]["value"], paths[0, 14]["lo"][2], paths[0, 14]["hi"][2], paths[0, 14]["z"][2]) == (1.0, 6.0, math.inf, 0.5 ** 7)
+
+
+def test_every_row_gets_the_count_of_its_key(spark):
+    keys = ["a"] * 300 + ["b", "b", "", None, None, "c"]
+    df = spark.createDataFrame([(n, k, "x") for n, k in enumerate(keys)], "i int, k string, _other string")
+    rows = dedupe.with_duplicate_count(df, "k").collect()
+    assert sorted(((r["i"], r["k"], r["_other"], r["duplicate_count"]) for r in rows), key=lambda r: r[0]) == [(n, k, "x", keys.count(k)) for n, k in enumerate(keys)]
+    assert dedupe.with_duplicate_count(df.limit(0), "k").count() == 0
+
+
 def test_leaf_contributions_on_a_hand_made_tree():
     """One path with two features: Shapley values written out by hand."""
     inf = np.inf
