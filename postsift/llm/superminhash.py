@@ -12,8 +12,10 @@ miss each other with a chance of (1 - 0.85^6)^32, 3 in 10 million. A crowd in a
    the largest crowds in all bands, which is the one nearest to the middle of the group.
 2. Then against the hub of each crowd that is still in another group.
 3. Where a crowd still falls into several groups, texts outside the crowd's largest group are
-   compared by signatures with all of it, block by block, and pairs of different groups whose
-   signatures agree in FLOOR of the places (0.85 less five deviations) are checked on full sets.
+   compared by signatures with all of it, block by block, each pair in the first band it shares.
+   Pairs of different groups whose signatures agree in FLOOR of the places (0.85 less five
+   deviations) are checked on full sets, block by block again: a block's task gets each text once,
+   so what is shuffled follows the texts of the blocks and not the pairs.
 Pairs within one group need no check: it is connected already.
 
 Equal word sequences are one text throughout, so a large group of copies costs one row.
@@ -36,7 +38,7 @@ SHINGLE, LEAST_PERCENT = 3, 85
 SLOTS, ROWS = 192, 6
 FLOOR = 0.72
 SEED = 42
-BLOCK = 1024  # signatures of one side of a block of a crowd
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # texts of one side of a block of a crowd, and their shingles
 CHUNK = 128  # texts that are checked against one copy of the other text
 FEW = 200_000  # names of texts that may be broadcast, about 100 bytes each
 SLICE_CHARS, PART = 1 << 21, 1 << 15  # characters read together; shingles ranked together
@@ -221,20 +223,68 @@ def _joined(links):
 
 
 def _close_pairs(floor):
-    """Pairs of different groups in a block whose signatures agree in enough places."""
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sides = []
-        for s in (0, 1):
-            part = group[group.side == s]
-            marks = np.frombuffer(b"".join(part.marks), np.uint8).reshape(len(part), len(group.marks.iloc[0]))
-            sides.append((part.node.to_numpy(), part.root.to_numpy(), marks))
-        (node, root, marks), (nodes, roots, all_marks) = sides
-        found = [np.zeros((0, 2), np.int64)]
+    """Texts of a block that are in pairs to check, each once, with its partners (``others``).
+
+    A pair is named if its groups differ, its signatures agree in enough places, this is the first
+    band that it shares, and neither is the crowd's hub, against which all were checked before.
+    """
+    columns = ["band", "i", "j", "node", "others"]
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        def side(rows):
+            marks = np.frombuffer(b"".join(rows.marks), np.uint8).reshape(len(rows), -1)
+            return rows.node.to_numpy(), rows.root.to_numpy(), marks, np.stack(list(rows.bands))
+
+        group = group[group.node != group.hub]
+        if group.side.nunique() < 2:
+            return pd.DataFrame([], columns=columns)
+        main, here = group.main.iloc[0], group.k.iloc[0]
+        node, root, marks, bands = side(group[group.side == 0])
+        nodes, roots, all_marks, all_bands = side(group[group.side == 1])
+        partners: dict[int, list[int]] = {}
         for k in range(len(node)):
             agree = (all_marks == marks[k]).sum(axis=1)
-            hit = nodes[(agree >= floor * all_marks.shape[1]) & (roots != root[k])]
-            found.append(np.stack((np.minimum(hit, node[k]), np.maximum(hit, node[k])), axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+            # of two texts outside the largest group, each meets the other: the smaller one names the pair
+            hit = np.flatnonzero((agree >= floor * all_marks.shape[1]) & (roots != root[k]) & ((roots == main) | (nodes > node[k])))
+            hit = hit[(all_bands[hit] == bands[k]).argmax(axis=1) == here] if len(hit) else hit
+            if len(hit):
+                partners.setdefault(int(node[k]), []).extend(nodes[hit].tolist())
+        for x in {x for found in partners.values() for x in found} - set(partners):
+            partners[x] = []
+        return pd.DataFrame([(*key, x, found) for x, found in partners.items()], columns=columns)
+
+    return run
+
+
+def _confirmed_in_block(width, percent):
+    """The pairs of a block whose full shingle sets are similar enough; shingles get exact numbers."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        numbers: dict[bytes, int] = {}
+        cut = [np.array([numbers.setdefault(w, len(numbers)) for w in words_of(t.encode())], np.int64) for t in group.body]
+        lengths = np.array([len(c) for c in cut])
+        words, owner = np.concatenate(cut), np.repeat(np.arange(len(cut)), lengths)
+        at = np.flatnonzero(np.cumsum(lengths)[owner] - np.arange(len(words)) >= width)
+        # a sequence of fewer words than that is equal to no other text's
+        ids = words[at]
+        for k in range(1, width):
+            ids = np.unique(ids * len(numbers) + words[at + k], return_inverse=True)[1]
+        top = int(ids.max()) + 1 if len(ids) else 1
+        entries = np.unique(owner[at] * top + ids)  # each text's shingles once, text by text
+        sizes = np.bincount(entries // top, minlength=len(cut))
+        sets = np.split(entries % top, np.cumsum(sizes)[:-1])
+        place, own = {n: k for k, n in enumerate(group.node)}, np.zeros(top, bool)
+        links = []
+        for a, others in zip(group.node, group.others):
+            if not len(others):
+                continue
+            mine = sets[place[a]]
+            own[mine] = True
+            for b in others:
+                both = int(own[sets[place[b]]].sum())
+                if both and 100 * both >= percent * (len(mine) + len(sets[place[b]]) - both):
+                    links.append((a, b))
+            own[mine] = False
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -253,19 +303,23 @@ def _apart(placed):
 
 
 def _left_over(placed, nodes):
-    """Pairs to check in crowds that still fall into several groups; see the head of the module."""
-    groups = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    """Texts to check by blocks, in crowds that still fall into several groups; see the head of the module."""
+    groups = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     # the largest group, ties to the smallest root, in one number each: fixed-width aggregation
-    most = groups.groupBy("band").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    most = most.filter("all > 2")  # the one pair of two texts was checked
-    main = groups.join(most, "band").filter("n = top").groupBy("band").agg(F.min("root").alias("main"), F.first("all").alias("all"))
-    crowd = join_hot(placed, cut_lineage(main), "band", "all", placed.count()).join(nodes.select("node", "marks"), "node")
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
+    most = groups.groupBy("band").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.sum("shingles").alias("shingles"),
+                                      F.count(F.lit(1)).alias("groups")).filter("groups > 1 and all > 2")  # the one pair of two texts was checked
+    main = groups.drop("shingles").join(most, "band").filter("n = top").groupBy("band").agg(
+        F.min("root").alias("main"), F.first("all").alias("all"), F.first("shingles").alias("crowd_shingles"))
+    signs = nodes.select("node", "marks", "bands")
+    crowd = join_hot(placed.drop("n_shingles"), cut_lineage(main), "band", "all", placed.count()).join(signs, "node")
+    blocks = F.ceil(F.greatest(F.col("all") / BLOCK, F.col("crowd_shingles") / BLOCK_SHINGLES)).cast("int")
     part = F.pmod(F.xxhash64("node"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
-    minor = crowd.filter("root <> main").select("band", part.alias("i"), F.explode(every).alias("j"), "node", "root", "marks", F.lit(0).alias("side"))
-    whole = crowd.select("band", F.explode(every).alias("i"), part.alias("j"), "node", "root", "marks", F.lit(1).alias("side"))
-    return minor.unionByName(whole).groupBy("band", "i", "j").applyInPandas(_close_pairs(FLOOR), "a long, b long").distinct()
+    carried = ["k", "node", "root", "main", "hub", "marks", "bands"]
+    minor = crowd.filter("root <> main").select("band", part.alias("i"), F.explode(every).alias("j"), *carried, F.lit(0).alias("side"))
+    whole = crowd.select("band", F.explode(every).alias("i"), part.alias("j"), *carried, F.lit(1).alias("side"))
+    return minor.unionByName(whole).groupBy("band", "i", "j").applyInPandas(
+        _close_pairs(FLOOR), "band long, i int, j int, node long, others array<long>")
 
 
 def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, percent=LEAST_PERCENT) -> DataFrame:
@@ -283,15 +337,16 @@ def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, perce
         F.min("_at").alias("_at"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times"))
     first = copies.withColumnRenamed("_at", "node").withColumnRenamed("copy", "_copy")
     # the first row of each text carries its signature; its place is the text's number
-    nodes = cut_lineage(signed.join(first, signed["_at"] == first["node"]).select("node", "copy", "least", "times", "bands", "marks"))
-    shared = nodes.select("node", F.posexplode("bands").alias("k", "hash")).select(F.xxhash64("k", "hash").alias("band"), "node")
+    nodes = cut_lineage(signed.join(first, signed["_at"] == first["node"]).select("node", "copy", "n_shingles", "least", "times", "bands", "marks"))
+    shared = nodes.select("node", "n_shingles", F.posexplode("bands").alias("k", "hash")).select(
+        F.xxhash64("k", "hash").alias("band"), "k", "node", "n_shingles")
     crowds = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = cut_lineage(join_hot(shared, cut_lineage(crowds), "band", "n", shared.count()))
     # A text in large crowds throughout is near the middle of its group: it is the hub of its crowds.
     ranked = cut_lineage(met.join(met.groupBy("node").agg((-F.sum("n")).alias("order")), "node"))
     hubs = ranked.groupBy("band", "n").agg(F.min(F.struct("order", "node")).alias("hub"))
-    entries = cut_lineage(join_hot(ranked.select("band", "node"), cut_lineage(hubs), "band", "n", ranked.count())
-                          .select("band", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.order").alias("order")))
+    entries = cut_lineage(join_hot(ranked.select("band", "k", "node", "n_shingles"), cut_lineage(hubs), "band", "n", ranked.count())
+                          .select("band", "k", "node", "n_shingles", "n", F.col("hub.node").alias("hub"), F.col("hub.order").alias("order")))
     named = cut_lineage(nodes.select("copy", "node").join(entries.select("node").distinct(), "node"))
     bodies = cut_lineage(_texts_of(rows, named))
 
@@ -301,9 +356,9 @@ def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, perce
     others = entries.filter("node <> hub")
     links = check(others.groupBy("node").agg(F.min(F.struct("order", "hub")).alias("a")).select(F.col("a.hub").alias("a"), F.col("node").alias("b")))
     links = links.unionByName(check(_apart(cut_lineage(_placed(entries, components(links))))))
-    left_over = _left_over(cut_lineage(_placed(entries, components(links))), nodes)
-    checked = others.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    links = links.unionByName(check(left_over.join(checked, ["a", "b"], "left_anti")))
+    left_over = cut_lineage(_left_over(cut_lineage(_placed(entries, components(links))), nodes))
+    in_blocks = left_over.join(bodies, "node").groupBy("band", "i", "j").applyInPandas(_confirmed_in_block(width, percent), "a long, b long")
+    links = links.unionByName(cut_lineage(_joined(in_blocks)))
     rooted = cut_lineage(components(links))
     tops = nodes.join(rooted, "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = join_hot(rooted, tops, "root", "n", rooted.count()).select("node", "component_id")

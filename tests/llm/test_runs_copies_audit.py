@@ -5,6 +5,7 @@ import random
 import zlib
 from itertools import permutations
 
+import pandas as pd
 import pytest
 
 from postsift.llm import filter_audit, periodic_runs, superminhash
@@ -149,6 +150,21 @@ def test_near_groups_equal_brute_force(spark, monkeypatch, block):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_pairs_of_a_block_equal_full_sets(width):
+    """Every pair of a block by exact shingle numbers, against Python sets; empty and short texts among them."""
+    r = random.Random(width)
+    texts = [" ".join(r.choice("abcdé") for _ in range(r.choice([0, 1, 2, 3, 4, 30, 300]))) for _ in range(40)]
+    texts += [t.upper().replace(" ", "\n", 1) + " a" for t in texts]
+    others = [[m for m in range(n + 1, len(texts))] for n in range(len(texts))]
+    group = pd.DataFrame({"node": range(100, 100 + len(texts)), "body": texts, "others": [[m + 100 for m in o] for o in others]})
+    got = superminhash._confirmed_in_block(width, 60)(group)
+    sets = [superminhash._shingle_set(t, width) if len(t.split()) >= width else set() for t in texts]
+    want = [(n + 100, m + 100) for n in range(len(texts)) for m in others[n]
+            if sets[n] & sets[m] and 100 * len(sets[n] & sets[m]) >= 60 * len(sets[n] | sets[m])]
+    assert [tuple(x) for x in got.to_numpy().tolist()] == want and want
+
+
 def test_texts_without_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(superminhash, "FEW", 0)
     texts = near_texts(5, centres=2, copies=12)
