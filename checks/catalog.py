@@ -784,10 +784,10 @@ def _stream(i, replay=False):
     """Submissions as a file stream: the view is stored once and read back as a stream."""
     path = i.scratch()
     i.submissions.write.parquet(f"{path}/in")
-    stream = streaming.read_submissions(i.spark, f"{path}/in", "parquet")
-    for n in range(2 if replay else 1):  # a fresh checkpoint makes every batch run again
+    for n, files_per_batch in enumerate((1000, 3) if replay else (1000,)):  # a fresh checkpoint, with batches of another size
+        stream = streaming.read_submissions(i.spark, f"{path}/in", "parquet", files_per_batch)
         streaming.score_stream(stream, f"{path}/out", f"{path}/check{n}").awaitTermination()
-    return {n: i.spark.read.parquet(f"{path}/out/{n}") for n in (*sinks.TABLES, "rejects")}
+    return streaming.stored_tables(i.spark, f"{path}/out")
 
 
 add("st1_score_stream", lambda i: _linked(_stream(i)), _LINKED_SQL)

@@ -1,7 +1,9 @@
 """Scored tables, metrics documents, models and the feature cache."""
 
+import re
+
 from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postsift import vocab
 from postsift.functions import stylometry, verdict
@@ -9,6 +11,8 @@ from postsift.operators import shap
 from postsift.operators.submissions import stable_id
 
 TABLES = ("job_postings", "feature_vectors", "classification_results", "explainability_reports")
+REJECTS = "rejects"
+KEY_BUCKETS = 16  # folders of a batch's keys; a lookup that touches few keys reads few of them
 
 
 def score_tables(scored: DataFrame) -> dict[str, DataFrame]:
@@ -48,6 +52,67 @@ def score_sink(scored: DataFrame, path: str, batch_id=None) -> None:
         scored.unpersist()
 
 
+# --- batches of a stream, each key stored once -----------------------------------
+
+
+def first_of_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, the least by all its columns, so that a task that runs again picks the same."""
+    return df.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("_row")).select(key, "_row.*")
+
+
+def unstored(rows: DataFrame, path: str, key: str, batch: str) -> DataFrame:
+    """Rows whose key no other committed batch has stored.
+
+    The stored keys are reduced to those of ``rows`` first, bucket by bucket; where the rows are few
+    their keys are broadcast, so the stored keys are read and not shuffled.
+    """
+    stored = stored_keys(rows.sparkSession, path)
+    if stored is None:
+        return rows
+    bucket = _bucket(key)
+    asked = rows.select(F.col(key).alias("key"), bucket.alias("bucket"))
+    seen = stored.filter(F.col("batch_id") != batch).join(asked, ["bucket", "key"], "left_semi")
+    return rows.join(seen.select(F.col("key").alias(key)), key, "left_anti")
+
+
+def _bucket(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def is_committed(spark: SparkSession, path: str, batch: str) -> bool:
+    return _exists(spark, f"{path}/markers/batch_id={batch}/_SUCCESS")
+
+
+def commit_batch(keys: DataFrame, path: str, batch: str) -> None:
+    """Store a batch's keys, then its marker. Readers see a batch only once the marker stands.
+
+    The marker is one file of one row, so it is there or not; all else of a batch was written before.
+    """
+    keys.select("key", _bucket("key").alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/batch_id={batch}")
+    keys.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/markers/batch_id={batch}")
+
+
+def stored_keys(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys of committed batches (key, bucket, batch_id); None before the first."""
+    return committed(spark, path, "keys", "key string, bucket int, batch_id string")
+
+
+def committed(spark: SparkSession, path: str, table: str, schema=None) -> DataFrame | None:
+    """Rows of a table that belong to committed batches, with ``batch_id``; None before the first.
+
+    Only committed folders are opened: what a stopped batch left behind is not read. Spark names
+    the folders' files where it lists them, the driver holds one name per batch.
+    """
+    if not _exists(spark, f"{path}/markers"):
+        return None
+    names = sorted(m[1] for m in (re.fullmatch(r"batch_id=(.+)", n) for n in _children(spark, f"{path}/markers")) if m and is_committed(spark, path, m[1]))
+    folders = [f"{path}/{table}/batch_id={n}" for n in names]
+    if not folders:
+        return None
+    reader = spark.read.option("basePath", f"{path}/{table}")
+    return (reader.schema(schema) if schema else reader).parquet(*folders)
+
+
 def metrics_document(search: dict, scores: DataFrame, dataset: DataFrame, versions: dict[str, str]) -> DataFrame:
     """Best parameters, scores, label sources and versions as one nested row."""
     spark = scores.sparkSession
@@ -82,6 +147,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm_path)]
+
+
 def load_model(spark: SparkSession, path: str):
     """(model, paths), each None while it has not been written: scoring then runs as a stub."""
     model = RandomForestClassificationModel.load(f"{path}/model") if _exists(spark, f"{path}/model/metadata") else None

@@ -309,15 +309,87 @@ def test_tuning_picks_the_best_of_the_grid(spark, forest_table):
     assert len(forest.param_sets()) == 18
 
 
-def test_replayed_batches_add_no_rows(spark, folder):
+def _submitted(spark, folder):
+    """Eleven rows in eleven files: one without user, one without text."""
     rows = [(str(n), "URGENT act now, mail x@gmail.com" if n % 2 else "Plain posting.", "web", None if n == 4 else "u1") for n in range(10)] + [("10", "  ", "web", "u1")]
     df = spark.createDataFrame(rows, "submission_id string, text string, source_platform string, user_id string").withColumn("submitted_at", F.lit("2025-01-01").cast("timestamp"))
-    df.write.json(f"{folder}/in")
-    for attempt in ("a", "b"):
-        stream = streaming.read_submissions(spark, f"{folder}/in")
-        streaming.score_stream(stream, f"{folder}/out", f"{folder}/check-{attempt}").awaitTermination()
-    count = {t: spark.read.parquet(f"{folder}/out/{t}").count() for t in (*sinks.TABLES, "rejects")}
-    assert count == {"job_postings": 9, "feature_vectors": 9, "classification_results": 9, "explainability_reports": 5, "rejects": 2}
+    df.repartitionByRange(11, "submission_id").write.json(f"{folder}/in")
+
+
+def _score(spark, folder, attempt, files_per_batch):
+    stream = streaming.read_submissions(spark, f"{folder}/in", files_per_batch=files_per_batch)
+    streaming.score_stream(stream, f"{folder}/out", f"{folder}/check-{attempt}").awaitTermination()
+
+
+ONCE = {"job_postings": 9, "feature_vectors": 9, "classification_results": 9, "explainability_reports": 5, "rejects": 2}
+
+
+def _sizes(spark, folder):
+    return {name: table.count() for name, table in streaming.stored_tables(spark, f"{folder}/out").items()}
+
+
+def test_replays_with_other_batch_sizes_store_each_id_once(spark, folder):
+    _submitted(spark, folder)
+    assert streaming.stored_tables(spark, f"{folder}/out") == {}
+    for attempt, files_per_batch in (("a", 1000), ("b", 4), ("a", 2)):  # the last finds nothing new in its checkpoint
+        _score(spark, folder, attempt, files_per_batch)
+        assert _sizes(spark, folder) == ONCE
+    spark.createDataFrame([("3", "sent again", "web", "u1"), ("11", "a new one", "web", "u2")], "submission_id string, text string, source_platform string, user_id string").coalesce(1).write.mode("append").json(f"{folder}/in")
+    _score(spark, folder, "b", 1000)
+    tables = streaming.stored_tables(spark, f"{folder}/out")
+    texts = [r["raw_text"] for r in tables["job_postings"].collect()]
+    assert len(texts) == 10 and "a new one" in texts and "sent again" not in texts
+    linked = tables["job_postings"].join(tables["classification_results"], "posting_id").join(tables["feature_vectors"], ["posting_id", "vector_id"])
+    assert linked.count() == 10
+
+
+@pytest.mark.parametrize("stop", ["classification_results", "rejects", "marker"])
+def test_stop_within_a_batch_neither_loses_nor_doubles(spark, folder, stop, monkeypatch):
+    _submitted(spark, folder)
+    tables, commit, calls = sinks.score_tables, sinks.commit_batch, []
+
+    def part(scored):  # the second batch stops before the named table is written
+        calls.append(1)
+        made = tables(scored)
+        if len(calls) == 2 and stop in made:
+            made[stop] = made[stop].withColumn("_stop", F.raise_error(F.lit("stopped")))
+        return made
+
+    def mark(keys, path, batch):
+        if len(calls) == 2 and stop == "marker":
+            raise RuntimeError("stopped")
+        commit(keys, path, batch)
+
+    def rejected(validated):
+        if len(calls) == 2 and stop == "rejects":
+            raise RuntimeError("stopped")
+        return validated.filter("reason is not null")
+
+    monkeypatch.setattr(sinks, "score_tables", part)
+    monkeypatch.setattr(sinks, "commit_batch", mark)
+    monkeypatch.setattr(streaming.submissions, "rejected", rejected)
+    with pytest.raises(Exception, match="stopped"):
+        _score(spark, folder, "a", 3)
+    monkeypatch.undo()
+    assert 0 < _sizes(spark, folder)["job_postings"] < 9
+    _score(spark, folder, "b", 5)  # another checkpoint reads all again
+    assert _sizes(spark, folder) == ONCE
+    _score(spark, folder, "a", 4)  # the stopped query goes on: its batch finds its keys stored
+    assert _sizes(spark, folder) == ONCE
+
+
+def test_rows_of_one_batch_that_share_an_id(spark, folder):
+    schema = "submission_id string, text string, source_platform string, user_id string, submitted_at timestamp"
+    rows = [("1", "b", "web", "u", None), ("1", "a", "web", "u", None), (None, "x", "web", "u", None), (None, "x", "web", "u", None), (None, "y", None, "u", None),
+            ("2", "", "web", "u", None), ("2", "", "web", "u", None), ("2", "now with text", "web", "u", None)]
+    df = spark.createDataFrame(rows, schema)
+    for batch in ("q_0", "q_0", "r_0"):
+        streaming.store_batch(df, folder, batch)
+        tables = streaming.stored_tables(spark, folder)
+        assert sorted(r["raw_text"] for r in tables["job_postings"].collect()) == ["a", "now with text", "x", "y"]
+        assert tables["rejects"].count() == 1
+    streaming.store_batch(df.limit(0), folder, "r_1")
+    assert streaming.stored_tables(spark, folder)["job_postings"].count() == 4
 
 
 def test_feature_cache_computes_new_texts_only(spark, folder):
