@@ -909,10 +909,20 @@ def _explained(i):
 
 
 def _summarized(i):
+    """The summary of all rows, merged from the states of three parts, against the rows themselves."""
     table, _, _, paths = _with_paths(i)
-    rows = shap.shap_summary(shap.tree_shap(ranking.seeded_sample(table, "id", 1000), paths))
+    rows = cut_lineage(shap.tree_shap(table, paths).select("id", "shap"))
+    part = lambda k: shap.shap_state(rows.filter(F.pmod(F.xxhash64("id"), F.lit(3)) == k))
+    shares = (0.05, 0.5, 0.95)
+    merged = shap.state_summary(shap.merge_states(part(0).union(part(1)).union(part(2))), shares)
+    names = F.array(*[F.lit(n) for n in vocab.FEATURE_ORDER])
+    tall = rows.select(F.posexplode("shap").alias("_i", "v")).select(F.get(names, F.col("_i")).alias("feature"), "v")
     q = F.col("quantiles")
-    return rows.select("feature", (F.abs("mean") <= F.col("mean_abs") + 1e-12).alias("mean_bounded"), ((q[0] <= q[1]) & (q[1] <= q[2])).alias("quantiles_rise"))
+    # A quantile is right if its share lies between those of the rows below it and up to it.
+    near = [(F.avg((F.col("v") < q[k]).cast("double")) < s + 0.01) & (F.avg((F.col("v") <= q[k]).cast("double")) > s - 0.01) for k, s in enumerate(shares)]
+    return tall.join(F.broadcast(merged), "feature").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) == F.any_value("n")).alias("all_counted"),
+        (F.abs(F.avg("v") - F.any_value("mean")) < 1e-9).alias("mean_follows"), (near[0] & near[1] & near[2]).alias("quantiles_near"))
 
 
 def _reloaded(i):
@@ -937,7 +947,7 @@ add("m12_tree_paths", _reach, f"select range as tree, {_facts('sums_to_one', 'in
 add("m13_tree_shap", _additive, over_postings("select id, true as adds_up from data", *DATA))
 add("w04_top3_contributions", _strongest, over_postings(f"select id, p.range as place, {_facts('in_order', 'impact_follows')} from data, range(3) p", *DATA))
 add("m14_explain", _explained, over_postings("select id, true as explained from data", *DATA))
-add("m18_shap_summary", _summarized, f"select feature, {_facts('mean_bounded', 'quantiles_rise')} from {_FEATURES}")
+add("m18_shap_summary", _summarized, over_postings(f"select feature, (select count(*) from data) as n_rows, {_facts('all_counted', 'mean_follows', 'quantiles_near')} from {_FEATURES}", *DATA))
 add("s16_model_store", _reloaded, over_postings("select distinct id, true as same from data", *DATA))
 
 

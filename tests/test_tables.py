@@ -270,6 +270,22 @@ def test_every_row_gets_the_count_of_its_key(spark):
     assert dedupe.with_duplicate_count(df.limit(0), "k").count() == 0
 
 
+def test_states_of_contributions_add_up(spark):
+    """Quantiles of merged parts lie within the error bound; one part is large, one empty, one constant."""
+    values = [float((n * 7919) % 30011) - 15000 for n in range(30011)]  # each whole number from -15000 to 15010 once
+    parts = [values[:25000], [], values[25000:]]
+    states = [shap.shap_state(spark.createDataFrame([([v] * 14 + [0.25],) for v in part] + [(None,)], "shap array<double>")) for part in parts]
+    merged = shap.state_summary(shap.merge_states(states[0].union(states[1]).union(states[2])), (0.0, 0.01, 0.5, 0.99, 1.0))
+    rows = {r["feature"]: r for r in merged.collect()}
+    assert set(rows) == set(vocab.FEATURE_ORDER)
+    first, last = rows[vocab.FEATURE_ORDER[0]], rows[vocab.FEATURE_ORDER[14]]
+    assert first["n"] == 30011 and first["mean"] == pytest.approx(5.0) and first["mean_abs"] == pytest.approx(sum(map(abs, values)) / 30011)
+    assert (first["quantiles"][0], first["quantiles"][4]) == (-15000, 15010)
+    assert all(abs((q + 15000) / 30011 - s) < 0.01 for q, s in zip(first["quantiles"], (0.0, 0.01, 0.5, 0.99, 1.0)))
+    assert last["quantiles"] == [0.25] * 5 and last["mean"] == 0.25
+    assert shap.shap_summary(spark.createDataFrame([(None,)], "shap array<double>")).count() == 0
+
+
 def test_leaf_contributions_on_a_hand_made_tree():
     """One path with two features: Shapley values written out by hand."""
     inf = np.inf
