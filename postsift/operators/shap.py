@@ -8,7 +8,8 @@ training rows that went the path's way. The contribution of feature i is then
     v (o_i - z_i) * integral over t in [0, 1] of prod_{j != i} (t o_j + (1 - t) z_j) dt
 
 which is Shapley's weighting of all coalitions written as an integral. The integrand
-is a polynomial of degree under 15, so eight Gauss-Legendre nodes integrate it exactly.
+is a polynomial of a degree under the number of features tested, so half as many
+Gauss-Legendre nodes integrate it exactly. Untested features contribute nothing.
 """
 
 import numpy as np
@@ -22,8 +23,7 @@ from postsift.operators.lineage import cut_lineage
 N = len(vocab.FEATURE_ORDER)
 SLICE_BYTES = 128 << 20
 _PATH_BYTES = 8 * (3 * N + 1)
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(8)
-_NODES, _WEIGHTS = (_NODES + 1) / 2, _WEIGHTS / 2
+_CELLS = 1 << 18  # rows x paths x features at once
 
 
 # --- the forest as a table of paths ------------------------------------------
@@ -83,22 +83,53 @@ def base_value(paths: DataFrame) -> Column:
 # --- contributions -----------------------------------------------------------
 
 
-def leaf_contributions(x, value, lo, hi, z) -> np.ndarray:
-    """Contributions for rows x (rows, features), summed over the given leaves."""
+def reduced(value, lo, hi, z) -> list[tuple]:
+    """Paths by the number of features they test, without the other features.
+
+    Each group is (features, value, lo, hi, z); all but ``value`` have one column per tested feature.
+    A path without a test contributes nothing and is left out.
+    """
+    tested = np.isfinite(lo) | np.isfinite(hi)
+    lengths = tested.sum(axis=1)
+    out = []
+    for length in np.unique(lengths[lengths > 0]):
+        paths = np.flatnonzero(lengths == length)
+        features = np.nonzero(tested[paths])[1].reshape(-1, length)
+        out.append((features, value[paths], *[np.take_along_axis(a[paths], features, 1) for a in (lo, hi, z)]))
+    return out
+
+
+def path_contributions(x, features, value, lo, hi, z) -> np.ndarray:
+    """Contributions for rows x (rows, features), summed over paths that test equally many features."""
+    paths, length = features.shape
+    nodes, weights = np.polynomial.legendre.leggauss(-(-length // 2))  # exact: the integrand's degree is under ``length``
+    place = np.eye(N)[features.ravel()]
     out = np.zeros_like(x)
-    rows_at_once = max(1, (1 << 18) // max(1, len(value)))
+    rows_at_once = max(1, _CELLS // (paths * length))
     for r in range(0, len(x), rows_at_once):
-        part = x[r:r + rows_at_once]
-        # (features, rows, leaves)
-        known = ((part.T[:, :, None] > lo.T[:, None, :]) & (part.T[:, :, None] <= hi.T[:, None, :])).astype(float)
-        share = np.broadcast_to(z.T[:, None, :], known.shape)
-        gap = (known - share) * value
-        for t, w in zip(_NODES, _WEIGHTS):
-            factor = t * known + (1 - t) * share
-            out[r:r + rows_at_once] += w * (gap * (factor.prod(axis=0) / factor)).sum(axis=2).T
+        part = x[r:r + rows_at_once][:, features]  # (rows, paths, tested features)
+        known = ((part > lo) & (part <= hi)).astype(float)
+        weight = np.zeros_like(known)
+        for t, w in zip((nodes + 1) / 2, weights / 2):
+            factor = t * known + (1 - t) * z
+            weight += w * factor.prod(axis=2, keepdims=True) / factor
+        out[r:r + rows_at_once] = ((known - z) * value[:, None] * weight).reshape(len(part), -1) @ place
     return out
 
 
+def reduced_contributions(x, groups, paths_at_once=1024) -> np.ndarray:
+    out = np.zeros_like(x)
+    for group in groups:
+        for c in range(0, len(group[0]), paths_at_once):
+            out += path_contributions(x, *[a[c:c + paths_at_once] for a in group])
+    return out
+
+
+def leaf_contributions(x, value, lo, hi, z) -> np.ndarray:
+    """Contributions for rows x (rows, features), summed over the given leaves."""
+    return reduced_contributions(x, reduced(value, lo, hi, z))
+
+
 class Explainer:
     """A forest's paths, read once and sent to the executors in slices of bounded size."""
 
@@ -108,7 +139,7 @@ class Explainer:
         self.trees = size[1]
         slices = max(1, -(-size[0] * _PATH_BYTES // slice_bytes))
         numbered = paths.withColumn("_slice", F.pmod(F.xxhash64("tree", "leaf"), F.lit(slices)))
-        # A slice at a time on the driver, as columns.
+        # A slice at a time on the driver; what is sent holds the tested features only.
         self.slices = [context.broadcast(_arrays(numbered.filter(F.col("_slice") == k).toArrow())) for k in range(slices)]
 
     def column(self, number: int, features: Column, wanted: Column) -> Column:
@@ -117,15 +148,11 @@ class Explainer:
 
         @F.pandas_udf("array<double>")
         def contribute(x: pd.Series) -> pd.Series:
-            value, lo, hi, z = leaves.value
             out = pd.Series([None] * len(x), index=x.index, dtype=object)
             there = x.notna()
             if there.any():
                 rows = np.vstack(x[there].to_numpy()).astype(float)
-                total = np.zeros_like(rows)
-                for c in range(0, len(value), 1024):
-                    s = slice(c, c + 1024)
-                    total += leaf_contributions(rows, value[s], lo[s], hi[s], z[s])
+                total = reduced_contributions(rows, leaves.value)
                 out[there] = pd.Series(list(total / trees), index=x.index[there], dtype=object)
             return out
 
@@ -134,7 +161,7 @@ class Explainer:
 
 def _arrays(table):
     wide = lambda c: np.array(table[c].to_pylist(), float).reshape(-1, N)
-    return np.array(table["value"].to_pylist(), float), wide("lo"), wide("hi"), wide("z")
+    return reduced(np.array(table["value"].to_pylist(), float), wide("lo"), wide("hi"), wide("z"))
 
 
 def tree_shap(df: DataFrame, paths, when: str | None = None, slice_bytes=SLICE_BYTES) -> DataFrame:
