@@ -809,17 +809,15 @@ add("s17_feature_cache", _cached, over_postings("select doc_id, ttr, urgency_ter
 # --- forests: facts that hold for every fit, beside the rows that the fit must cover -----------
 
 # A forest's splits are beyond SQL, so these queries fit on the whole dataset and return, for each
-# row, feature or tree, whether what must hold does. SMALL and SMALL_GRID keep fits of the check
-# short; ``train_forest`` and ``grid_search`` default to forest.GRID and 300 trees.
-SMALL = {"numTrees": 8, "maxDepth": 6}
-SMALL_GRID = {"numTrees": [8], "maxDepth": [6], "minInstancesPerNode": [1, 3], "featureSubsetStrategy": ["sqrt"]}
-GRID_FOLDS = 2
+# row, feature or tree, whether what must hold does. Forests have the library's own size, 300 trees
+# without a limit of depth, and the search tries all of forest.GRID on five folds.
+TREES, FOLDS = 300, 5
 
 
 def _fitted(i):
     table = cut_lineage(i.vectors)
     train = forest.assemble(table.filter("split = 'train'"), ["y"])
-    return table, forest.train_forest(train, SMALL)
+    return table, forest.train_forest(train)
 
 
 def _with_paths(i):
@@ -846,8 +844,8 @@ def _classified(i):
 
 
 def _searched(i):
-    train = split.with_folds(i.vectors.filter("split = 'train'"), GRID_FOLDS, label="y")
-    found = forest.grid_search(forest.assemble(train, ["fold", "y"]), SMALL_GRID)
+    train = split.with_folds(i.vectors.filter("split = 'train'"), FOLDS, label="y")
+    found = forest.grid_search(forest.assemble(train, ["fold", "y"]))
     top = max(r["mean_pr_auc"] for r in found["cv_results"].select("mean_pr_auc").collect())  # one row per setting
     best = F.col("param_id") == found["params"].index(found["best_params"])
     sizes = found["predictions"].groupBy("param_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("fold").alias("n_folds"))
@@ -939,11 +937,11 @@ _FEATURES = "(select unnest([" + ", ".join(d.q(f) for f in vocab.FEATURE_ORDER)
 
 add("m04_train_forest", _trained, over_postings(f"select id, {_facts('labelled', 'in_range')}, false as is_stub from data", *DATA))
 add("m05_grid_search", _searched, over_postings(
-    f"select p.range as param_id, count(*) as n_rows, {GRID_FOLDS}::bigint as n_folds, true as best_is_top from data, range({len(forest.param_sets(SMALL_GRID))}) p where split = 'train' group by 1", *DATA))
+    f"select p.range as param_id, count(*) as n_rows, {FOLDS}::bigint as n_folds, true as best_is_top from data, range({len(forest.param_sets())}) p where split = 'train' group by 1", *DATA))
 add("m09_classify", _classified, over_postings(f"select id, {_facts('in_range', 'label_follows')}, false as is_stub from data", *DATA))
 add("m11_feature_importance", _importance_facts, f"select feature, {_facts('in_range', 'sums_to_one')} from {_FEATURES}")
 add("w07_importance_rank", _importance_order, f"select range as place, true as in_order from range(1, {len(vocab.FEATURE_ORDER) + 1})")
-add("m12_tree_paths", _reach, f"select range as tree, {_facts('sums_to_one', 'in_range')} from range({SMALL['numTrees']})")
+add("m12_tree_paths", _reach, f"select range as tree, {_facts('sums_to_one', 'in_range')} from range({TREES})")
 add("m13_tree_shap", _additive, over_postings("select id, true as adds_up from data", *DATA))
 add("w04_top3_contributions", _strongest, over_postings(f"select id, p.range as place, {_facts('in_order', 'impact_follows')} from data, range(3) p", *DATA))
 add("m14_explain", _explained, over_postings("select id, true as explained from data", *DATA))

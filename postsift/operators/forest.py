@@ -56,21 +56,28 @@ def balanced_weights(df: DataFrame, label="y", keys=()) -> DataFrame:
         weights = counts.join(totals, list(keys))
         weights = weights.select(*keys, label, (F.col("_total") / (F.col("_classes") * F.col("_n"))).alias("weight"))
         return df.join(F.broadcast(weights), [*keys, label])  # a row per fold and class
-    facts = {r[label]: r["_n"] for r in counts.collect()}  # one row per class
-    total, classes = sum(facts.values()), len(facts)
-    chain = F
-    for value, n in facts.items():
-        chain = chain.when(F.col(label) == value, F.lit(total / (classes * n)))
-    return df.withColumn("weight", chain.otherwise(F.lit(1.0)) if facts else F.lit(1.0))
+    return df.withColumn("weight", _class_weight({r[label]: r["_n"] for r in counts.collect()}, label))  # one row per class
+
+
+def _class_weight(counts: dict, label="y"):
+    """The balanced weight of a row, given the rows of each class."""
+    total, chain = sum(counts.values()), F
+    for value, n in counts.items():
+        chain = chain.when(F.col(label) == value, F.lit(total / (len(counts) * n)))
+    return chain.otherwise(F.lit(1.0)) if counts else F.lit(1.0)
 
 
 def train_forest(train: DataFrame, params=None, seed=vocab.SEED) -> RandomForestClassificationModel:
     """Fit on (features, y) with balanced class weights."""
+    return _fit(balanced_weights(train), params, seed)
+
+
+def _fit(weighted: DataFrame, params, seed) -> RandomForestClassificationModel:
     settings = {"numTrees": 300, **(params or {})}
     if settings.get("maxDepth") is None:
         settings["maxDepth"] = MAX_DEPTH
     forest = RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", seed=seed, **settings)
-    return forest.fit(balanced_weights(train))
+    return forest.fit(weighted)
 
 
 def param_sets(grid=None) -> list[dict]:
@@ -82,26 +89,38 @@ def fraud_probability(model, df: DataFrame, keep) -> DataFrame:
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"))
 
 
-def grid_search(train: DataFrame, grid=None, seed=vocab.SEED, parallelism=4) -> dict:
+def grid_search(train: DataFrame, grid=None, seed=vocab.SEED, parallelism=8) -> dict:
     """Try each parameter set on each fold, then refit the best on all of ``train``.
 
-    ``train`` has (features, y, fold). Each forest trains on the cluster, ``parallelism`` of them
-    at a time; the driver loops over settings and folds only. Out-of-fold predictions stay in
-    storage.
+    ``train`` has (features, y, fold); it is stored once and shared by all fits, and class weights of
+    all folds come from one count. Each forest trains on the cluster, ``parallelism`` of them at a
+    time; the driver loops over settings and folds only. Out-of-fold predictions are stored once
+    per setting, with the forests that made them gone.
     """
     train = cut_lineage(train)
-    folds = sorted(r["fold"] for r in train.select("fold").distinct().collect())
-    sets = param_sets(grid)
+    counts = train.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()  # folds x classes
+    folds, sets = sorted({r["fold"] for r in counts}), param_sets(grid)
 
     def held_out(number, fold):
-        model = train_forest(train.filter(F.col("fold") != fold), sets[number], seed)
-        scored = fraud_probability(model, train.filter(F.col("fold") == fold), ["fold", "y"])
-        return cut_lineage(scored.withColumn("param_id", F.lit(number)))
-
+        outside = {}
+        for r in counts:
+            if r["fold"] != fold:
+                outside[r["y"]] = outside.get(r["y"], 0) + r["n"]
+        inside = F.col("fold") == fold
+        model = _fit(train.filter(~inside).withColumn("weight", _class_weight(outside)), sets[number], seed)
+        return fraud_probability(model, train.filter(inside), ["fold", "y"]).withColumn("param_id", F.lit(number))
+
+    def store(number):
+        return cut_lineage(reduce(DataFrame.unionByName, [f.result() for f in fits[number]]))
+
+    guarded = lambda f: inheritable_thread_target(train.sparkSession)(f)
     with ThreadPoolExecutor(parallelism) as pool:
-        run = inheritable_thread_target(train.sparkSession)(held_out)
-        fits = [pool.submit(run, n, fold) for n in range(len(sets)) for fold in folds]
-        predictions = reduce(DataFrame.unionByName, [f.result() for f in fits])
+        fits = [[pool.submit(guarded(held_out), n, fold) for fold in folds] for n in range(len(sets))]
+        stored = []
+        for number in range(len(sets)):  # in the order in which fits end
+            stored.append(store(number))
+            fits[number] = None
+    predictions = reduce(DataFrame.unionByName, stored)
     results = cut_lineage(evaluate.cv_results(predictions))
     best = evaluate.top_params(results, 1).first()
     return {
