@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from postsift.llm.components import components
+from postsift.llm.components import components, fitted
 from postsift.llm.hot import join_hot
 from postsift.operators.hotkeys import left_join_hot
 from postsift.operators.lineage import cut_lineage
@@ -40,6 +40,7 @@ FLOOR = 0.72
 SEED = 42
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20  # texts of one side of a block of a crowd, and their shingles
 CHUNK = 128  # texts that are checked against one copy of the other text
+ROWS_PER_TASK = 50_000  # links or entries of crowds, under 100 bytes each
 FEW = 200_000  # names of texts that may be broadcast, about 100 bytes each
 SLICE_CHARS, PART = 1 << 21, 1 << 15  # characters read together; shingles ranked together
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -343,23 +344,28 @@ def near_groups(docs: DataFrame, key="doc_id", text="text", width=SHINGLE, perce
     crowds = shared.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = cut_lineage(join_hot(shared, cut_lineage(crowds), "band", "n", shared.count()))
     # A text in large crowds throughout is near the middle of its group: it is the hub of its crowds.
-    ranked = cut_lineage(met.join(met.groupBy("node").agg((-F.sum("n")).alias("order")), "node"))
+    fit, total = fitted(ROWS_PER_TASK), met.count()
+    ranked = cut_lineage(fit(met.join(met.groupBy("node").agg((-F.sum("n")).alias("order")), "node"), total))
     hubs = ranked.groupBy("band", "n").agg(F.min(F.struct("order", "node")).alias("hub"))
-    entries = cut_lineage(join_hot(ranked.select("band", "k", "node", "n_shingles"), cut_lineage(hubs), "band", "n", ranked.count())
-                          .select("band", "k", "node", "n_shingles", "n", F.col("hub.node").alias("hub"), F.col("hub.order").alias("order")))
+    entries = cut_lineage(fit(
+        join_hot(ranked.select("band", "k", "node", "n_shingles"), cut_lineage(fit(hubs, total)), "band", "n", total)
+        .select("band", "k", "node", "n_shingles", "n", F.col("hub.node").alias("hub"), F.col("hub.order").alias("order")), total))
     named = cut_lineage(nodes.select("copy", "node").join(entries.select("node").distinct(), "node"))
     bodies = cut_lineage(_texts_of(rows, named))
 
     def check(pairs):
-        return cut_lineage(_joined(confirmed(cut_lineage(pairs), bodies, width, percent)))
+        return cut_lineage(_joined(confirmed(cut_lineage(fit(pairs, total)), bodies, width, percent)))
+
+    def placed(links):
+        return cut_lineage(fit(_placed(entries, components(links, ROWS_PER_TASK)), total))
 
     others = entries.filter("node <> hub")
     links = check(others.groupBy("node").agg(F.min(F.struct("order", "hub")).alias("a")).select(F.col("a.hub").alias("a"), F.col("node").alias("b")))
-    links = links.unionByName(check(_apart(cut_lineage(_placed(entries, components(links))))))
-    left_over = cut_lineage(_left_over(cut_lineage(_placed(entries, components(links))), nodes))
+    links = links.unionByName(check(_apart(placed(links))))
+    left_over = cut_lineage(_left_over(placed(links), nodes))
     in_blocks = left_over.join(bodies, "node").groupBy("band", "i", "j").applyInPandas(_confirmed_in_block(width, percent), "a long, b long")
     links = links.unionByName(cut_lineage(_joined(in_blocks)))
-    rooted = cut_lineage(components(links))
+    rooted = cut_lineage(components(links, ROWS_PER_TASK))
     tops = nodes.join(rooted, "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
     linked = join_hot(rooted, tops, "root", "n", rooted.count()).select("node", "component_id")
     final = nodes.join(linked, "node", "left").select("copy", "times", F.coalesce("component_id", "least").alias("component_id"))
