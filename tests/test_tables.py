@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postsift import vocab
 from postsift.operators import dedupe, evaluate, forest, hotkeys, labels, ranking, shap, split, stats
+from postsift.operators.lineage import cut_lineage
 from postsift.plans import scoring
 from postsift.sources import conform, corpus, files, sinks, sitemaps
 from postsift.streaming import scoring as streaming
@@ -205,6 +206,18 @@ def forest_table(spark):
     return spark.createDataFrame(rows, schema)
 
 
+def test_training_sends_neither_grown_trees_nor_a_copy_per_small_task(spark, forest_table):
+    scattered = cut_lineage(forest.assemble(forest_table.repartition(40), ["y"]))  # rows keep their order
+    cores = spark.sparkContext.defaultParallelism
+    narrow = forest._at_most_a_task_per_core(forest.balanced_weights(scattered))
+    assert narrow.rdd.getNumPartitions() == cores and narrow.count() == forest_table.count()
+    params = {"numTrees": 5, "maxDepth": 6}
+    model = forest.train_forest(scattered, params)
+    assert model.getCacheNodeIds()
+    plain = forest.RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight", seed=vocab.SEED, **params).fit(narrow)
+    assert model.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]  # the same trees
+
+
 def test_contributions_equal_brute_force(spark, forest_table, tmp_path_factory):
     model = forest.train_forest(forest.assemble(forest_table, ["y"]), {"numTrees": 3, "maxDepth": 4, "featureSubsetStrategy": "0.5"})
     path = "file://" + str(tmp_path_factory.mktemp("model"))
