@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -123,6 +124,25 @@ def scanned_words(s):
     return found + [word] * bool(word)
 
 
+def test_only_text_that_nfkc_may_change_goes_to_python(spark):
+    rng = random.Random(3)
+    letters = [chr(i) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000]
+    seconds = [c for c in letters if unicodedata.combining(c) or unicodedata.decomposition(c)]
+    found = column(spark, [*letters, *("a" + "".join(rng.choices(letters, k=3)) + rng.choice(seconds) for _ in range(3000))],
+                   lambda c: F.struct(c.alias("t"), text.nfkc(c).alias("n"), c.rlike(text._MAY_CHANGE).alias("goes")))
+    assert all(r["n"] == unicodedata.normalize("NFKC", r["t"]) for r in found)
+    plain = ["caf\u00e9 \u2022 \u00a9 2024 \u2013 \u201cwork\u201d", "\u043e\u0443\u0440", "\u4e2d\u6587", "\U0001f600"]
+    odd = ["a\u00a0b", "e\u0301", "\ufb01n", "\u2026", "\u1100\u1161", "\u09c7\u09be"]
+    goes = column(spark, [*plain, *odd], lambda c: c.rlike(text._MAY_CHANGE))
+    assert goes == [False, False, False, True] + [True] * len(odd)  # beyond U+FFFF all are looked at
+
+
+def test_long_batches_of_odd_text_keep_their_rows(spark):
+    texts = [None if k % 7 == 0 else f"\ufb01{k}" for k in range(1000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", text.nfkc("t").alias("n"))
+    assert [r["n"] for r in df.orderBy("k").collect()] == [t and t.replace("\ufb01", "fi") for t in texts]
+
+
 def test_clean_text_by_hand(spark):
     df = spark.createDataFrame(CLEANED, "t string, want string")
     assert [r["got"] for r in text.with_clean_lines(df, "t", "got").collect()] == [w for _, w in CLEANED]
