@@ -2,6 +2,7 @@ import gzip
 import itertools
 import math
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -299,6 +300,35 @@ def test_states_of_contributions_add_up(spark):
     assert shap.shap_summary(spark.createDataFrame([(None,)], "shap array<double>")).count() == 0
 
 
+def test_contributions_take_a_fraction_of_the_plain_formula():
+    rng = np.random.default_rng(5)
+
+    def plain(x, features, value, lo, hi, z):
+        """The integral node by node, each feature's factor divided out."""
+        part = x[:, features]
+        known = ((part > lo) & (part <= hi)).astype(float)
+        nodes, weights = np.polynomial.legendre.leggauss(-(-features.shape[1] // 2))
+        weight = np.zeros_like(known)
+        for t, w in zip((nodes + 1) / 2, weights / 2):
+            factor = t * known + (1 - t) * z
+            weight += w * factor.prod(axis=2, keepdims=True) / factor
+        return ((known - z) * value[:, None] * weight).reshape(len(x), -1) @ np.eye(shap.N)[features.ravel()]
+
+    def timed(f, *args):
+        start = time.process_time()
+        return f(*args), time.process_time() - start
+
+    for length in range(1, shap.N + 1):
+        paths = 600 if length == 10 else 7
+        features = np.array([np.sort(rng.permutation(shap.N)[:length]) for _ in range(paths)])
+        lo = rng.normal(-1, 0.5, (paths, length))
+        group = (features, rng.random(paths), lo, lo + rng.random((paths, length)) * 4, rng.uniform(0.01, 1, (paths, length)))
+        x = rng.normal(size=(500, shap.N))
+        (want, slow), (got, quick) = timed(plain, x, *group), min((timed(shap.reduced_contributions, x, [group]) for _ in range(3)), key=lambda r: r[1])
+        assert np.allclose(got, want, rtol=0, atol=1e-12)
+        assert length != 10 or quick < slow / 1.5
+
+
 def test_leaf_contributions_on_a_hand_made_tree():
     """One path with two features: Shapley values written out by hand."""
     inf = np.inf
