@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 import unicodedata
 from collections import Counter
@@ -143,6 +144,35 @@ def test_long_batches_of_odd_text_keep_their_rows(spark):
     assert [r["n"] for r in df.orderBy("k").collect()] == [t and t.replace("\ufb01", "fi") for t in texts]
 
 
+def test_steps_without_translate_or_match_strings_give_the_same(spark, samples):
+    """Each step against the form it had, over odd text too; no count of a line makes strings of its matches."""
+    odd = ["\U00010400e \U00010428le x\U00010428e", "a\x1cb\x85c\u2028d\u3000e", "x \n \n  y\n\n z \u2028\n w", "a@b.c@d.e @x.y _@q", "\u0130\u0131 tab\tI",
+           "?! A. \n B.\u00a0C", "\u0430\u0435 \u0401 \u0445", "#[x](y)-\"'.;"]
+    df = spark.createDataFrame([(k, t, t.lower()) for k, t in enumerate([*samples, *odd])], "k int, t string, low string")
+    ws, t = vocab.WS_CHARS, F.col("t")
+    line = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}.,'-]+", " ")), F.lit(" "))
+    n = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    lost = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    floored = " [^aeiouy ]++(?:(?= )|(?<!l)e(?= ))"
+    complex_word = " [^aeiouy ]*+(?:[aeiouy]++[^aeiouy ]++){2}(?!(?<!l)e )[aeiouy]"
+    pairs = {
+        "spaces": (text.spaces(t), F.translate(t, ws, " " * len(ws))),
+        "homoglyphs": (text.map_homoglyphs(t), F.translate(t, vocab.HOMOGLYPH_FROM, vocab.HOMOGLYPH_TO)),
+        "fold": (stylometry.fold(t), F.lower(F.translate(t, "\u0130\u0131" + ws, "ii" + " " * len(ws)))),
+        "glued": (text.segment(F.translate(t, vocab.BULLETS, "")), F.regexp_replace(F.translate(t, vocab.BULLETS, ""), r"([a-z0-9)\]:])(?=[A-Z][a-z])", "$1\n")),
+        "syllables": (stylometry.syllable_total(line), n(line, "[aeiouy]++") - n(line, "[^aeiouyl ]e(?= )") + n(line, floored)),
+        "complex": (stylometry.complex_total(line), n(line, complex_word)),
+        "capitals": (text.count_by_loss(t, r" (?=\p{Lu}{3,}+ )"), n(t, r" \p{Lu}{3,}+(?= )")),
+        "marks": (text.count_by_loss(t, "[" + "".join("\\" + c for c in vocab.PUNCTUATION) + "]++"), lost(vocab.PUNCTUATION)),
+        "exclamations": (text.count_term(t, "!"), lost("!")),
+        "address": (email.email_domain(t), F.lower(F.nullif(F.regexp_extract(t, "(?<![a-zA-Z0-9_.+-])" + vocab.EMAIL.replace("]+@", "]++@", 1), 1), F.lit("")))),
+    }
+    for name, (now, before) in pairs.items():
+        assert df.filter(~now.eqNullSafe(before)).select(F.lit(name), "t", now, before).collect() == []
+    plan = stylometry.extract_features(df.select("t"), "t")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"regexp_extract_all\(_(?:line|low)#.{40}|(?<!THEN )translate\(_clean.{40}", plan) == []
+
+
 def test_clean_text_by_hand(spark):
     df = spark.createDataFrame(CLEANED, "t string, want string")
     assert [r["got"] for r in text.with_clean_lines(df, "t", "got").collect()] == [w for _, w in CLEANED]
