@@ -219,6 +219,25 @@ def test_training_sends_neither_grown_trees_nor_a_copy_per_small_task(spark, for
     assert model.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]  # the same trees
 
 
+def test_a_large_forest_grows_in_parts(spark, forest_table, tmp_path_factory, monkeypatch):
+    monkeypatch.setattr(forest, "TREES_PER_FIT", 2)
+    rows = cut_lineage(forest.assemble(forest_table, ["id", "y"]))
+    model = forest.train_forest(rows, {"numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 2})
+    assert (model.getNumTrees, model.getMaxDepth(), model.getMinInstancesPerNode(), model.numFeatures, model.getSeed()) == (5, 3, 2, 15, vocab.SEED)
+    texts = [t.toDebugString.split("\n", 1)[1] for t in model.trees]
+    assert len(set(texts)) == 5  # parts do not repeat each other's draws
+    weighted = cut_lineage(forest.balanced_weights(rows))
+    parts = [forest._fit(weighted, {"numTrees": n, "maxDepth": 3, "minInstancesPerNode": 2}, vocab.SEED + k * forest._SEED_STEP) for k, n in enumerate((2, 2, 1))]
+    assert texts == [t.toDebugString.split("\n", 1)[1] for part in parts for t in part.trees]
+    path = "file://" + str(tmp_path_factory.mktemp("model"))
+    sinks.save_model(spark, model, path)
+    loaded, paths = sinks.load_model(spark, path)
+    scores = lambda m: {r["id"]: r["p"] for r in forest.fraud_probability(m, rows, ["id"]).collect()}
+    whole, each = scores(model), [scores(part) for part in parts]
+    assert whole == scores(loaded) and paths.select("tree").distinct().count() == 5
+    assert all(whole[i] == pytest.approx(sum(n * p[i] for n, p in zip((2, 2, 1), each)) / 5) for i in whole)
+
+
 def test_contributions_equal_brute_force(spark, forest_table, tmp_path_factory):
     model = forest.train_forest(forest.assemble(forest_table, ["y"]), {"numTrees": 3, "maxDepth": 4, "featureSubsetStrategy": "0.5"})
     path = "file://" + str(tmp_path_factory.mktemp("model"))
