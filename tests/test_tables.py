@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import itertools
 import math
 import random
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsift import vocab
-from postsift.operators import dedupe, evaluate, forest, hotkeys, labels, ranking, shap, split, stats
+from postsift.operators import annotation, dedupe, evaluate, forest, hotkeys, labels, ranking, shap, split, stats
 from postsift.operators.lineage import cut_lineage
 from postsift.plans import scoring
 from postsift.sources import conform, corpus, files, sinks, sitemaps
@@ -67,6 +68,24 @@ def test_global_rank_and_running_totals(spark):
     assert sums == dict(zip((i for i, _ in order), itertools.accumulate(v for _, v in order)))
 
 
+def test_the_annotation_shuffle_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def costly(i):
+        seen.add(1)
+        return i
+
+    ids = [str(i) for i in range(300)] + ["7", None, None]
+    df = spark.createDataFrame([(i,) for i in ids], "i string").repartition(3).withColumn("t", costly("i"))
+    got = annotation.annotation_shuffle(df, "i").collect()
+    digest = lambda i: hashlib.md5(f"{vocab.SEED}|{i}".encode()).hexdigest()
+    expected = sorted(ids, key=lambda i: (i is not None, i and digest(i)))
+    assert [(r["i"], r["t"]) for r in sorted(got, key=lambda r: r["row"])] == [(i, i) for i in expected]
+    assert sorted(r["row"] for r in got) == list(range(len(ids)))
+    assert seen.value == len(ids)
+
+
 def test_hot_keys_keep_all_rows(spark):
     keys = ["hot"] * 2000 + ["warm"] * 300 + [f"k{i}" for i in range(2700)]
     left = spark.createDataFrame(list(enumerate(keys)), "i int, g string")
