@@ -406,6 +406,19 @@ def test_tuning_picks_the_best_of_the_grid(spark, forest_table):
     assert len(forest.param_sets()) == 18
 
 
+def test_fits_of_a_search_take_a_task_per_so_many_rows(spark, forest_table, monkeypatch):
+    """Rows lie in 8 parts; each task of a fit costs statistics of all nodes, so few rows go to one task."""
+    train = forest.assemble(forest_table.withColumn("fold", F.substring("id", -1, 1).cast("int") % 2), ["fold", "y"]).repartition(8)
+    plain, seen = forest._fit, []
+    monkeypatch.setattr(forest, "_fit", lambda rows, *a: seen.append((rows.rdd.getNumPartitions(), rows.count())) or plain(rows, *a))
+    for rows, tasks in ((forest.ROWS_PER_TASK, 1), (100, 3)):
+        monkeypatch.setattr(forest, "ROWS_PER_TASK", rows)
+        seen.clear()
+        found = forest.grid_search(train, {"numTrees": [2], "maxDepth": [2, 3]})
+        assert sorted(seen) == [(tasks, 150)] * 4 + [(tasks, 300)]  # 2 settings on 2 folds, and the best on all rows
+        assert found["predictions"].count() == 600
+
+
 def _submitted(spark, folder):
     """Eleven rows in eleven files: one without user, one without text."""
     rows = [(str(n), "URGENT act now, mail x@gmail.com" if n % 2 else "Plain posting.", "web", None if n == 4 else "u1") for n in range(10)] + [("10", "  ", "web", "u1")]
