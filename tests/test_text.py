@@ -309,3 +309,17 @@ def test_markup_is_read_once_and_references_whole(spark):
     page = '<a data-href="/l/x" href="/l/y">y</a><a href=/l/z>z</a>'
     rows = spark.createDataFrame([(page,)], "t string")
     assert rows.select(page_links("t", "http://h", "/l/").alias("u")).first().u == ["http://h/l/y", "http://h/l/z"]
+
+
+def test_features_read_long_words_once_and_plain_text_alike(spark):
+    """The pattern for long words stood in a condition and in the division below it."""
+    texts = ["Plain  text \n\n here\n", " a\tb \x0b c", "x \x1c\n  y", "é  è\n \n z", "", "\n", None, "one two", "İ  \r\n KSh"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    plan = stylometry.extract_features(df).select("i", "caps_word_ratio")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\p{L}{3,}+") == 1 and plan.count(r"\p{Lu}{3,}+") == 1
+    got = {r["i"]: r["c"] for r in df.select("i", text.collapse_keep_lines("text").alias("c")).collect()}
+    gap = "[ \n\x1c-\x1f\x85   ]*"
+    wanted = lambda s: re.sub(f"{gap}\n{gap}", "\n", re.sub("  +", " ", re.sub("[\t\r\f\x0b]", " ", s))).strip(vocab.WS_CHARS)
+    assert got == {i: None if s is None else wanted(s) for i, s in enumerate(texts)}
+    counted = spark.createDataFrame([(["a b", "a  b", " a b", "a ", "", "  ", "a", "é \U0001f600 z", None],)], "s array<string>")
+    assert counted.select(stylometry.sentence_lengths("s").alias("n")).first()["n"] == [2, 2, 2, 1, 0, 0, 1, 3, None]
