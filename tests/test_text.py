@@ -318,7 +318,7 @@ def test_features_read_long_words_once_and_plain_text_alike(spark):
     plan = stylometry.extract_features(df).select("i", "caps_word_ratio")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(r"\p{L}{3,}+") == 1 and plan.count(r"\p{Lu}{3,}+") == 1
     got = {r["i"]: r["c"] for r in df.select("i", text.collapse_keep_lines("text").alias("c")).collect()}
-    gap = "[ \n\x1c-\x1f\x85   ]*"
+    gap = "[ \n\x1c-\x1f\x85\u1680\u2028\u2029]*"
     wanted = lambda s: re.sub(f"{gap}\n{gap}", "\n", re.sub("  +", " ", re.sub("[\t\r\f\x0b]", " ", s))).strip(vocab.WS_CHARS)
     assert got == {i: None if s is None else wanted(s) for i, s in enumerate(texts)}
     counted = spark.createDataFrame([(["a b", "a  b", " a b", "a ", "", "  ", "a", "é \U0001f600 z", None],)], "s array<string>")
