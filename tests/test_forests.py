@@ -58,3 +58,22 @@ def test_a_forest_too_large_for_the_driver_stays_stored(spark, table, small_step
     key = lambda r: (r["tree"], r["leaf"])
     assert sorted(paths.collect(), key=key) == sorted(sinks.load_model(spark, f"{folder}/held")[1].collect(), key=key)
     assert sorted(scoring.classify_features(table, model).columns) == sorted([*table.columns, "label", "confidence_score", "is_stub"])
+
+
+def test_paths_take_one_shuffle_of_the_nodes(spark):
+    """A chain of 32 levels under a first node; the paths of its leaves against those written out."""
+    node = "struct<id: int, impurityStats: array<double>, leftChild: int, rightChild: int, split: struct<featureIndex: int, leftCategoriesOrThreshold: array<double>>>"
+    rows, cover = [], 2.0 ** 33
+    for level in range(32):  # the left child is a leaf with half of the rows, the chain goes on to the right
+        rows.append((0, (2 * level, [cover, 0.0], 2 * level + 1, 2 * level + 2, (level % 3, [float(level)]))))
+        cover /= 2
+        rows.append((0, (2 * level + 1, [cover, 0.0], -1, -1, (-1, []))))
+    rows.append((0, (64, [0.0, cover], -1, -1, (-1, []))))
+    found = shap.tree_paths(spark.createDataFrame(rows[::-1], f"treeID int, nodeData {node}"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "ExistingRDD" not in plan.replace("Scan ExistingRDD[treeID", "")
+    paths = {r["leaf"]: r for r in found.collect()}
+    assert set(paths) == {2 * level + 1 for level in range(32)} | {64}
+    last = paths[64]
+    assert (last["value"], last["lo"][:3], last["hi"][:3], math.prod(last["z"])) == (1.0, [30.0, 31.0, 29.0], [math.inf] * 3, 0.5 ** 32)
+    assert (paths[9]["hi"][:3], paths[9]["lo"][:3], paths[9]["z"][:3]) == ([math.inf, 4.0, math.inf], [3.0, 1.0, 2.0], [0.25, 0.25, 0.5])
