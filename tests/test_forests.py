@@ -77,3 +77,50 @@ def test_paths_take_one_shuffle_of_the_nodes(spark):
     last = paths[64]
     assert (last["value"], last["lo"][:3], last["hi"][:3], math.prod(last["z"])) == (1.0, [30.0, 31.0, 29.0], [math.inf] * 3, 0.5 ** 32)
     assert (paths[9]["hi"][:3], paths[9]["lo"][:3], paths[9]["z"][:3]) == ([math.inf, 4.0, math.inf], [3.0, 1.0, 2.0], [0.25, 0.25, 0.5])
+
+
+def _paths(rng, paths, length):
+    features = np.array([np.sort(rng.permutation(shap.N)[:length]) for _ in range(paths)])
+    lo = rng.normal(-1, 0.5, (paths, length)).round(1)
+    hi = np.where(rng.random(lo.shape) < 0.3, np.inf, lo + rng.random(lo.shape).round(1) * 4)
+    lo[rng.random(lo.shape) < 0.3] = -np.inf
+    lo[np.isinf(lo) & np.isinf(hi)] = 0.0
+    return features, rng.random(paths), lo, hi, rng.uniform(0.01, 1, (paths, length))
+
+
+def test_many_rows_look_their_contributions_up():
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(20000, shap.N)).round(1)  # many values lie on thresholds
+    x[5, 3] = np.nan
+    groups = [_paths(rng, 9, length) for length in range(1, shap.N + 1)]
+    groups[4][2][0, 0], groups[4][3][0, 0] = 2.0, 1.0  # an interval that no value lies in
+    want = sum(shap.path_contributions(x, *g) for g in groups)
+    assert np.allclose(shap.reduced_contributions(x, groups), want, rtol=0, atol=1e-12)
+    few = x[:40]  # fewer rows than patterns of most paths
+    assert np.allclose(shap.reduced_contributions(few, groups), want[:40], rtol=0, atol=1e-12)
+
+    def timed(f, *args):
+        start = time.process_time()
+        f(*args)
+        return time.process_time() - start
+
+    group = _paths(rng, 300, 8)
+    slow = min(timed(lambda: [shap.path_contributions(x, *[a[c:c + 64] for a in group]) for c in range(0, 300, 64)]) for _ in range(2))
+    assert min(timed(shap.reduced_contributions, x, [group]) for _ in range(2)) < slow / 1.5
+
+
+def test_a_path_table_and_an_explainer_give_the_same(spark, table, folder, monkeypatch):
+    monkeypatch.setattr(tree_groups, "ROWS_PER_BLOCK", 100)
+    model = forest.train_forest(forest.assemble(table, ["y"]), {"numTrees": 5, "maxDepth": 6})
+    sinks.save_model(spark, model, folder)
+    paths = sinks.load_model(spark, folder)[1]
+    asked = table.withColumn("asked", F.when(F.substring("id", -1, 1) != "3", F.col("y") == 1))  # true, false and null
+    got = shap.tree_shap(asked, paths, "asked", slice_bytes=4000)
+    assert got.columns == [*asked.columns, "shap"]
+    key = lambda r: (r["id"], r["shap"] is None)
+    got, want = sorted(got.collect(), key=key), sorted(shap.tree_shap(asked, shap.Explainer(paths), "asked").collect(), key=key)
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and any(r["shap"] for r in got)
+    for a, b in zip(got, want):
+        assert (a["shap"] is None) == (b["shap"] is None) == (not a["asked"])
+        assert a["shap"] is None or a["shap"] == pytest.approx(b["shap"], abs=1e-12)
+    assert shap.tree_shap(asked.limit(0), paths).count() == 0
